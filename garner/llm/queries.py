@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from garner.llm import plan_addresses, plan_conversations
+from garner.llm import plan_addresses, plan_conversations, plan_mail
 
-_MODULES = (plan_addresses, plan_conversations)
+_MODULES = (plan_addresses, plan_conversations, plan_mail)
 
 QUERIES = {name: fn for module in _MODULES for name, fn in module.QUERIES.items()}
 SQL = {name: sql for module in _MODULES for name, sql in module.SQL.items()}
