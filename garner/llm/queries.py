@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from garner.llm import plan_addresses, plan_conversations, plan_mail, plan_pii
+from garner.llm import plan_addresses, plan_conversations, plan_mail, plan_pii, plan_residue
 
-_MODULES = (plan_addresses, plan_conversations, plan_mail, plan_pii)
+_MODULES = (plan_addresses, plan_conversations, plan_mail, plan_pii, plan_residue)
 
 QUERIES = {name: fn for module in _MODULES for name, fn in module.QUERIES.items()}
 SQL = {name: sql for module in _MODULES for name, sql in module.SQL.items()}
