@@ -285,8 +285,7 @@ def ngram_links(forms: DataFrame, cosine: float = 0.55, size: int = 3) -> DataFr
     """
     grams = forms.select("form", "house", F.explode(F.array_distinct(F.expr(f"transform(sequence(1, length(shown) - {size - 1}), i -> substring(shown, i, {size}))"))).alias("gram"))
     spread = grams.groupBy("gram").agg(F.count("*").alias("df"))
-    total = forms.agg(F.count("*").alias("total"))
-    weights = spread.crossJoin(F.broadcast(total)).select("gram", F.log(1 + F.col("total") / F.col("df")).alias("w"))  # one row
+    weights = spread.select("gram", F.log(1 + F.lit(forms.count()) / F.col("df")).alias("w"))
     vector = F.sort_array(F.collect_list(F.struct("w", "gram")), asc=False)
     vectors = grams.join(weights, "gram").groupBy("form", "house").agg(vector.alias("v"))
     norm = F.sqrt(F.aggregate("v", F.lit(0.0), lambda s, x: s + x["w"] * x["w"]))

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from garner.llm import plan_addresses, plan_conversations, plan_entities, plan_mail, plan_pii, plan_residue
+from garner.llm import plan_addresses, plan_conversations, plan_entities, plan_mail, plan_pii, plan_residue, plan_sizing
 
-_MODULES = (plan_addresses, plan_conversations, plan_entities, plan_mail, plan_pii, plan_residue)
+_MODULES = (plan_addresses, plan_conversations, plan_entities, plan_mail, plan_pii, plan_residue, plan_sizing)
 
 QUERIES = {name: fn for module in _MODULES for name, fn in module.QUERIES.items()}
 SQL = {name: sql for module in _MODULES for name, sql in module.SQL.items()}
