@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 import atexit
-import os
 import shutil
 import tempfile
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
 
@@ -56,6 +57,19 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def workers_env() -> int:
-    """Cores asked for by the benchmark's environment."""
-    return int(os.environ.get("BENCH_CPUS", os.cpu_count() or 8))
+_shipped: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Send this package to the workers, once per application, so that their Python can import it."""
+    context = spark.sparkContext
+    if context.applicationId in _shipped:
+        return
+    _shipped.add(context.applicationId)
+    folder = tempfile.mkdtemp(prefix="garner-package-")
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
+    package = Path(__file__).resolve().parent
+    with zipfile.ZipFile(f"{folder}/garner_package.zip", "w") as z:
+        for path in sorted(package.rglob("*.py")):
+            z.write(path, path.relative_to(package.parent))
+    context.addPyFile(f"{folder}/garner_package.zip")
