@@ -54,7 +54,7 @@ TRUSTED = [
     r"please (?:sign|log) in again\b.{0,30}",
     r"(?:the|this) [a-z]+(?: [a-z]+)? (?:is temporarily unavailable|cannot be (?:shown|displayed|loaded)|could not be loaded)\.?",
     r".{0,30}\b(?:please )?(?:enable|allow|turn on|activate) (?:javascript|js|scripts|scripting|cookies) (?:to|in|for)\b.{0,50}",
-    r"(?:bitte )?aktivieren sie (?:javascript|js|scripts|skripte|cookies)\b.{0,50}",
+    r"(?:bitte )?aktivieren sie (?:javascript|js|scripts|scripting|skripte|cookies)\b.{0,50}",
     r"(?:veuillez|merci d')\s*activer (?:javascript|js|(?:les )?scripts|scripting)\b.{0,40}",
     r"(?:debe habilitar|active|habilite) (?:javascript|js|(?:los )?scripts|scripting)\b.{0,40}",
     r"zet (?:javascript|js|scripts|scripting) aan\b.{0,40}",
@@ -141,7 +141,7 @@ def _counts(kinds: DataFrame, weights: np.ndarray | None, offset: float) -> tupl
         pos, neg = np.zeros(BUCKETS + 1), np.zeros(BUCKETS + 1)
         w = shared.value
         for b in batches:
-            size = np.log1p(b["n"].to_numpy(float))
+            size = b["n"].to_numpy(float)
             for ids, trusted, n in zip(b["ids"], b["trusted"], size, strict=True):
                 p = 1.0 if trusted else 0.0 if w is None else 1 / (1 + np.exp(-np.clip(offset + w[ids].sum(), -50, 50)))
                 pos[ids] += n * p
