@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from garner.plans import training
+from garner.plans import records, summaries, training
 
-_MODULES = (training,)
+_MODULES = (training, records, summaries)
 
 QUERIES = {name: fn for module in _MODULES for name, fn in module.QUERIES.items()}
 SQL = {name: sql for module in _MODULES for name, sql in module.SQL.items()}
