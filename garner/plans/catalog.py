@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from garner.plans import records, summaries, training
+from garner.plans import people, places, records, search, streams, summaries, training, updates
 
-_MODULES = (training, records, summaries)
+_MODULES = (training, records, summaries, search, people, updates, places, streams)
 
 QUERIES = {name: fn for module in _MODULES for name, fn in module.QUERIES.items()}
 SQL = {name: sql for module in _MODULES for name, sql in module.SQL.items()}
