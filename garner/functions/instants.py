@@ -121,13 +121,17 @@ def with_utc_ms(df: DataFrame, value: str, zone: str | None, name: str = "utc_ms
     A zone or offset inside the value wins over column ``zone``; a local time with neither, an
     impossible date or clock time, years 0 and 1, and an unknown zone give null. A local time that
     occurs twice means the first; one that never occurs moves on by the length of the gap.
-    Each step is a projection of its own, so that nothing is computed twice.
+    Each step is a projection of its own, so that nothing is computed twice. The row's own columns
+    are set aside meanwhile, so their names can't clash; a column called ``name`` is replaced.
     """
     zones = zone_names(df.sparkSession)
     months = F.create_map(*[F.lit(x) for n, names in MONTHS.items() for word in names.split() for x in (word, n)])
     minutes = F.create_map(*[F.lit(x) for k, v in ABBREVIATIONS.items() for x in (k, v)])
-    text = F.regexp_replace(F.col(value).cast("string"), "[\\u00A0\\u202F\\u2009\\s]", " ")
-    out = df.withColumn("__got", F.split(F.regexp_replace(text, PATTERN, _REPLACEMENT), "\u0001"))
+    shown = F.col(zone).cast("string") if zone else F.lit(None).cast("string")
+    kept = [c for c in df.columns if c != name]
+    held = df.select(F.struct(*[F.col(f"`{c}`") for c in kept]).alias("__row"), F.col(value).cast("string").alias("__value"), shown.alias("__fallback"))
+    text = F.regexp_replace("__value", "[\\u00A0\\u202F\\u2009\\s]", " ")
+    out = held.withColumn("__got", F.split(F.regexp_replace(text, PATTERN, _REPLACEMENT), "\u0001"))
 
     def part(key: str) -> Column:
         cell = F.get("__got", F.lit(_PARTS.index(key)))
@@ -136,7 +140,7 @@ def with_utc_ms(df: DataFrame, value: str, zone: str | None, name: str = "utc_ms
     def whole(key: str) -> Column:
         return part(key).try_cast("int")
 
-    fallback = _blank_to_null(F.col(zone).cast("string")) if zone else F.lit(None).cast("string")
+    fallback = _blank_to_null(F.col("__fallback"))
     out = out.withColumns(
         {
             "__y": whole("y"),
@@ -174,7 +178,7 @@ def with_utc_ms(df: DataFrame, value: str, zone: str | None, name: str = "utc_ms
     by_rules = F.unix_seconds(F.to_utc_timestamp(F.timestamp_seconds("__local"), F.col("__zone")))
     utc_s = F.when(F.col("__fixed").isNotNull(), F.col("__local") - F.col("__fixed") * 60).when(~F.col("__own"), by_rules)
     ms = F.when(F.col("__num").isNotNull(), number_ms(F.col("__num"))).otherwise(utc_s * 1000 + F.col("__f"))
-    return out.withColumn(name, ms).select(*df.columns, name)
+    return out.withColumn("__ms", ms).select("__row.*", F.col("__ms").alias(name))
 
 
 def _leap(y: Column) -> Column:
