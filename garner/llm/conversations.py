@@ -51,19 +51,20 @@ def kahn_leftover(nodes: DataFrame) -> DataFrame:
 
     Every message has at most one parent, so round k removes all messages whose chain of parents
     ends within 2^k steps: a link to the parent becomes one to the grandparent's ... and a chain
-    that ends is removed whole. The number of rounds is the logarithm of the longest chain; links
-    that survive as many rounds as the doubled chain could hold lie behind a cycle.
+    that ends is removed whole. Every round removes something as long as a chain that ends is left,
+    so a round that removes nothing leaves only links on a cycle or behind one. The number of
+    rounds is the logarithm of the longest chain.
     """
     keys = ["conversation", "message"]
     ids = nodes.select(*keys)
     link = nodes.where("parent is not null").select(*keys, F.col("parent").alias("to"))
     # A parent outside the conversation ends the chain.
     link = cut(link.join(ids.withColumnRenamed("message", "to"), ["conversation", "to"], "left_semi").select(*keys, "to"))
-    total, reach = link.count(), 1
-    while total and reach <= total:
+    left, before = link.count(), None
+    while left and left != before:
         onward = link.select("conversation", F.col("message").alias("to"), F.col("to").alias("further"))
         link = cut(link.join(onward, ["conversation", "to"]).select(*keys, F.col("further").alias("to")))
-        total, reach = link.count(), reach * 2
+        left, before = link.count(), left
     return link.select(*keys)
 
 

@@ -225,7 +225,7 @@ SHINGLE, LEAST_RUN = 5, 30
 
 
 def shingles_of(kept: DataFrame) -> DataFrame:
-    """Rolling shingles of the kept lines: thread, id, at, place, hash, line of the first word and its words."""
+    """Rolling shingles of the kept lines: thread, id, at, place, hash, and the lines of the first and last word with their numbers of words."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
@@ -239,10 +239,12 @@ def shingles_of(kept: DataFrame) -> DataFrame:
                     owner += [n] * len(w)
                     size[n] = len(w)
                 when = 0 if pd.isna(at) else int(at)
-                out += [(t, i, when, p, h, owner[p], size[owner[p]]) for p, h in enumerate(rolling_shingles(words, SHINGLE))]
-            yield pd.DataFrame(out, columns=["thread", "id", "at", "place", "hash", "line", "words"])
+                for p, h in enumerate(rolling_shingles(words, SHINGLE)):
+                    a, b = owner[p], owner[p + SHINGLE - 1]
+                    out.append((t, i, when, p, h, a, size[a], b, size[b]))
+            yield pd.DataFrame(out, columns=["thread", "id", "at", "place", "hash", "line", "words", "line_b", "words_b"])
 
-    return kept.where("thread is not null").mapInPandas(run, "thread string, id string, at long, place int, hash long, line int, words int")
+    return kept.where("thread is not null").mapInPandas(run, "thread string, id string, at long, place int, hash long, line int, words int, line_b int, words_b int")
 
 
 def inherited_lines(kept: DataFrame) -> DataFrame:
@@ -251,12 +253,15 @@ def inherited_lines(kept: DataFrame) -> DataFrame:
     A shingle's first occurrence in the thread, by (at, id), is where it was written. A shingle of
     a later mail points to the place of that first occurrence. Shingles of one pair of mails with
     equal distance between both places are an alignment; it counts from ``LEAST_RUN`` words on, as
-    shorter ones are stock phrases, and takes a line of which 0.8 of the words begin a shingle of it.
+    shorter ones are stock phrases, and takes a line of which it covers 0.8 of the words.
     """
     spans = shingles_of(kept)
     first = spans.groupBy("thread", "hash").agg(F.min(F.struct("at", "id", "place")).alias("f"))
     met = spans.join(first, ["thread", "hash"]).where("f.id <> id")
-    met = met.select("id", "place", "line", "words", F.col("f.id").alias("origin"), (F.col("place") - F.col("f.place")).alias("shift"))
+    met = met.select("id", "place", "line", "words", "line_b", "words_b", F.col("f.id").alias("origin"), (F.col("place") - F.col("f.place")).alias("shift"))
     run = met.withColumn("n", F.count("*").over(Window.partitionBy("id", "origin", "shift"))).where(F.col("n") + (SHINGLE - 1) >= LEAST_RUN)
-    lines = run.groupBy("id", "line").agg(F.count_distinct("place").alias("hit"), F.first("words").alias("words"))
+    # first and last words of all shingles of a run are together all its words
+    ends = F.array(F.struct("place", "line", "words"), F.struct((F.col("place") + (SHINGLE - 1)).alias("place"), F.col("line_b").alias("line"), F.col("words_b").alias("words")))
+    words = run.select("id", F.explode(ends).alias("w")).select("id", "w.*")
+    lines = words.groupBy("id", "line").agg(F.count_distinct("place").alias("hit"), F.first("words").alias("words"))
     return lines.where("hit >= 0.8 * words").select(F.col("id").alias("message_id"), F.col("line").alias("line_no"))

@@ -32,15 +32,15 @@ def demands(documents: DataFrame, targets: DataFrame, total: int | None = None,
     rows = rows.withColumn("cap", F.col("available") * F.greatest(F.coalesce("max_repeats", F.lit(0)), F.lit(0)))
     open_ = (F.col("target_share") > 0) & (F.col("cap") > 0)
     rows = rows.withColumn("share", F.when(open_, F.col("target_share")).otherwise(0.0))
-    even = F.sum("share") / F.count(F.when(open_, 1))
-    sums = rows.agg(F.min(F.when(open_, F.col("cap") / F.col("share"))).alias("most"), even.alias("even")).first()
+    even = F.try_divide(F.sum("share"), F.count(F.when(open_, 1)))
+    sums = rows.agg(F.min(F.when(open_, F.try_divide("cap", "share"))).alias("most"), even.alias("even")).first()
     most, even = sums["most"] or 0.0, sums["even"] or 0.0
     rows = rows.withColumn("total", F.lit(float(total or most)))
     rows = rows.withColumn("demand", F.least(F.col("share") * F.col("total"), F.col("cap").cast("double")))
     # start = (1 - f) * w + f / k and end = (1 + f) * w - f / k, in shares of the k open sources
-    limit = rows.agg(F.min(F.when(open_ & (F.col("share") < even), F.col("share") / (even - F.col("share"))))).first()[0]
+    limit = rows.agg(F.min(F.when(open_ & (F.col("share") < even), F.try_divide(F.col("share"), F.lit(even) - F.col("share"))))).first()[0]
     f = min(flatness, limit if limit is not None else flatness)
-    start = F.when(open_, (F.lit(1 - f) * F.col("share") + F.lit(f * even)) / F.col("share")).otherwise(1.0)
+    start = F.when(open_, F.try_divide(F.lit(1 - f) * F.col("share") + F.lit(f * even), F.col("share"))).otherwise(1.0)
     return rows.withColumn("start", start).select("source", "target_share", "max_repeats", "available", "demand", "total", "start")
 
 
@@ -80,7 +80,7 @@ def shares(drawn: DataFrame, demand: DataFrame) -> DataFrame:
         "target_share",
         F.round(tokens / F.lit(float(max(total, 1))), 6).alias("reached_share"),
         tokens.alias("tokens"),
-        F.round(F.coalesce(tokens / F.when(F.col("available") > 0, F.col("available")), F.lit(0.0)), 6).alias("repeats"),
+        F.round(F.coalesce(F.try_divide(tokens, F.col("available")), F.lit(0.0)), 6).alias("repeats"),
         "max_repeats",
     )
 
