@@ -17,6 +17,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from garner.session import cut
+
 # Closing formulas of letters, without marks and punctuation.
 CLOSINGS = {
     "best", "best regards", "kind regards", "regards", "warm regards", "warmly", "many thanks", "thanks", "thank you", "thanks a lot", "cheers",
@@ -204,20 +206,22 @@ def message_new_lines(mails: DataFrame) -> DataFrame:
     mails of its thread only where they share a rolling shingle, so a thread may hold any number
     of mails: shingles, not threads, are what is joined.
     """
-    kept = structural_lines(mails).where("size(kept) > 0")
+    kept = cut(structural_lines(mails).where("size(kept) > 0"))
     lines = kept.select(F.col("id").alias("message_id"), F.explode("kept").alias("line_no"))
     return lines.join(inherited_lines(kept), ["message_id", "line_no"], "left_anti")
 
 
 def structural_lines(mails: DataFrame) -> DataFrame:
-    """``mails`` with ``kept``, the numbers of the lines whose place lets them be new."""
+    """(id, thread, at, kept, shown): numbers and texts of the lines whose place lets them be new."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             kept = [[k + 1 for k, x in enumerate(structural(t, s or "")) if x] for t, s in zip(b["body"], b["sender"], strict=True)]
-            yield pd.DataFrame({"id": b["id"], "thread": b["thread"], "at": b["at"], "body": b["body"], "kept": kept})
+            shown = [[split[n - 1] for n in lines] for split, lines in zip((t.split("\n") for t in b["body"]), kept, strict=True)]
+            yield pd.DataFrame({"id": b["id"], "thread": b["thread"], "at": b["at"], "kept": kept, "shown": shown})
 
-    return mails.where("body is not null").select("id", "thread", "at", "body", "sender").mapInPandas(run, "id string, thread string, at long, body string, kept array<int>")
+    schema = "id string, thread string, at long, kept array<int>, shown array<string>"
+    return mails.where("body is not null").select("id", "thread", "at", "body", "sender").mapInPandas(run, schema)
 
 
 #: Words of a shingle and words in a row from which text counts as inherited.
@@ -230,11 +234,10 @@ def shingles_of(kept: DataFrame) -> DataFrame:
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             out = []
-            for i, t, at, body, lines in zip(b["id"], b["thread"], b["at"], b["body"], b["kept"], strict=True):
-                split = body.split("\n")
+            for i, t, at, lines, shown in zip(b["id"], b["thread"], b["at"], b["kept"], b["shown"], strict=True):
                 words, owner, size = [], [], {}
-                for n in lines:
-                    w = words_of(split[n - 1])
+                for n, line in zip(lines, shown, strict=True):
+                    w = words_of(line)
                     words += w
                     owner += [n] * len(w)
                     size[n] = len(w)
