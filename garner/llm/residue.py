@@ -129,6 +129,15 @@ def passage_table(documents: DataFrame) -> DataFrame:
     return documents.where("text is not null").select("doc_id", "text").mapInPandas(run, "doc_id long, key long, trusted boolean, ids array<int>")
 
 
+def _chance(ids: pd.Series, trusted: np.ndarray, weights: np.ndarray, offset: float) -> np.ndarray:
+    """Probabilities of a batch of passages, none of which is without features."""
+    if not len(ids):
+        return np.zeros(0)
+    starts = np.concatenate([[0], np.cumsum(ids.map(len).to_numpy())[:-1]])
+    logit = offset + np.add.reduceat(weights[np.concatenate(ids.to_list())], starts)
+    return np.where(trusted, 1.0, 1 / (1 + np.exp(-np.clip(logit, -50, 50))))
+
+
 def _counts(kinds: DataFrame, weights: np.ndarray | None, offset: float) -> tuple[np.ndarray, np.ndarray, float, float]:
     """Feature counts and passage weights of both classes, with posteriors under ``weights``.
 
@@ -141,13 +150,14 @@ def _counts(kinds: DataFrame, weights: np.ndarray | None, offset: float) -> tupl
         pos, neg = np.zeros(BUCKETS + 1), np.zeros(BUCKETS + 1)
         w = shared.value
         for b in batches:
-            size = b["n"].to_numpy(float)
-            for ids, trusted, n in zip(b["ids"], b["trusted"], size, strict=True):
-                p = 1.0 if trusted else 0.0 if w is None else 1 / (1 + np.exp(-np.clip(offset + w[ids].sum(), -50, 50)))
-                pos[ids] += n * p
-                neg[ids] += n * (1 - p)
-                pos[-1] += n * p
-                neg[-1] += n * (1 - p)
+            if not len(b):
+                continue
+            n, trusted = b["n"].to_numpy(float), b["trusted"].to_numpy(bool)
+            p = np.where(trusted, 1.0, 0.0) if w is None else _chance(b["ids"], trusted, w, offset)
+            each, ids = b["ids"].map(len).to_numpy(), np.concatenate(b["ids"].to_list())
+            for out, weight in ((pos, n * p), (neg, n * (1 - p))):
+                out[:-1] += np.bincount(ids, np.repeat(weight, each), BUCKETS)
+                out[-1] += weight.sum()
         at = np.flatnonzero(pos + neg)
         yield pd.DataFrame({"bucket": at, "pos": pos[at], "neg": neg[at]})
 
@@ -184,8 +194,7 @@ def score(kinds: DataFrame, weights: np.ndarray, offset: float) -> DataFrame:
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         w = shared.value
         for b in batches:
-            logit = np.array([offset + w[ids].sum() for ids in b["ids"]], float)
-            p = np.where(b["trusted"], 1.0, 1 / (1 + np.exp(-np.clip(logit, -50, 50))))
+            p = _chance(b["ids"], b["trusted"].to_numpy(bool), w, offset)
             yield pd.DataFrame({"key": b["key"], "p": p})
 
     return kinds.select("key", "ids", "trusted").mapInPandas(run, "key long, p double")
