@@ -327,7 +327,8 @@ def place_classes(records: DataFrame) -> DataFrame:
         usage = parts.groupBy(column).agg(F.count("*").alias(f"{column}_n"))
         forms = forms.join(usage, column)
     forms = cut(forms)
-    links = ngram_links(forms.select("form", "house", "shown"))
+    # what must be equal anyway belongs to the index key, so that fewer forms meet
+    links = ngram_links(forms.select("form", F.concat_ws("|", "house", "kind", "side").alias("house"), "shown"))
     facts = forms.drop("house", "shown")
     a = facts.select([F.col(c).alias(f"{c}_a") for c in facts.columns])
     b = facts.select([F.col(c).alias(f"{c}_b") for c in facts.columns])
