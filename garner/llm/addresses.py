@@ -316,7 +316,7 @@ def place_classes(records: DataFrame) -> DataFrame:
     Two records get one place if house number with letter, street and town agree, up to spelling
     slips, abbreviations and order. Null keys, null and non-postal values are left out.
     """
-    parts = with_towns(parsed_addresses(records))
+    parts = with_towns(cut(parsed_addresses(records)))
     for column in ("town", "street"):
         parts = canonical_words(parts, column)
     parts = parts.withColumn("shown", F.concat(F.lit(" "), F.concat_ws(" ", "side", "street", "kind"), F.lit(" "), F.col("town"), F.lit(" ")))
