@@ -10,6 +10,7 @@ from html.parser import HTMLParser
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 # Elements without text, and elements that begin a line.
 SILENT = {"head", "script", "style"}
@@ -75,7 +76,7 @@ def header_text(value: str | None) -> str | None:
 
 def text_column(df: DataFrame, column: str, name: str, convert: Callable[[str | None], str | None]) -> DataFrame:
     """``df`` with ``convert`` of a text column, Arrow batch by batch."""
-    schema = df.withColumn(name, F.lit("").cast("string")).schema
+    schema = T.StructType([f for f in df.schema if f.name != name] + [T.StructField(name, T.StringType())])
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
