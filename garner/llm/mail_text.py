@@ -123,6 +123,7 @@ def structural(body: str, sender: str = "") -> list[bool]:
     names = {plain(x) for x in (sender, sender.split()[0] if sender.split() else "") if x}
     new = [False] * len(lines)
     i, tail, mark = 0, False, ""
+    begun = False  # a signature stands behind something
     notice = False
     while i < len(lines):
         raw, line = lines[i], lines[i].strip()
@@ -131,16 +132,22 @@ def structural(body: str, sender: str = "") -> list[bool]:
             i += 1
             continue
         if _heading(lines, i):
-            return new  # what follows is the quoted or forwarded mail
+            j = i + 1
+            while j < len(lines) and (not lines[j].strip() or _FIELD.match(lines[j].strip())):
+                j += 1
+            if j >= len(lines) or not _QUOTED.match(lines[j]):
+                return new  # what follows without marks is the quoted or forwarded mail
+            i, tail, mark, begun = j, False, ">", True
+            continue
         if n := _attribution(lines, i):
             after = next((x for x in lines[i + n :] if x.strip()), "")
             mark = ">" if _QUOTED.match(after) else "|" if after.startswith("|") else " " if re.match(r"\s{2,}|\t", after) else ""
             if not mark and after:
                 return new
-            i, tail = i + n, False
+            i, tail, begun = i + n, False, True
             continue
         if _QUOTED.match(raw) or (mark == "|" and raw.startswith("|")) or (mark == " " and re.match(r"\s{2,}|\t", raw)):
-            tail = False
+            tail, begun = False, True
             i += 1
             continue
         if notice:
@@ -164,12 +171,12 @@ def structural(body: str, sender: str = "") -> list[bool]:
             tail = True
         elif _DELIMITER.match(line) and _signature_ahead(lines, i + 1):
             tail = True
-        elif (plain(line) in names or _is_name(raw)) and not line.endswith((",", ":")) and (i == 0 or not lines[i - 1].strip() or plain(lines[i - 1]) in CLOSINGS) and any(new) and _signature_ahead(lines, i + 1):
+        elif (plain(line) in names or _is_name(raw)) and not line.endswith((",", ":")) and (i == 0 or not lines[i - 1].strip() or plain(lines[i - 1]) in CLOSINGS) and begun and _signature_ahead(lines, i + 1):
             tail = True
-        elif _CONTACT.search(line) and any(new) and not lines[i - 1].strip() and _signature_ahead(lines, i + 1):
+        elif _CONTACT.search(line) and begun and not lines[i - 1].strip() and _signature_ahead(lines, i + 1):
             tail = True
         else:
-            new[i] = True
+            new[i] = begun = True
         i += 1
     return new
 
