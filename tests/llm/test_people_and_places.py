@@ -116,6 +116,15 @@ def test_matching(spark):
     assert entities.matched_pairs(empty).count() == 0
 
 
+def test_one_person_each(spark):
+    rows = [
+        ("contacts:1", "people:1", 0.9), ("contacts:1", "people:2", 0.8), ("handles:1", "people:1", 0.7), ("handles:2", "people:2", 0.9), ("contacts:1", "handles:1", 0.9), ("contacts:1", "handles:2", 0.9),
+        ("contacts:1", "handles:3", 0.6), ("contacts:2", "handles:3", 0.7), ("contacts:2", "people:2", 0.9), ("contacts:8", "handles:8", 0.6),
+    ]
+    got = {(r["a"], r["b"]) for r in entities.one_person_each(spark.createDataFrame(rows, "a string, b string, confidence double")).collect()}
+    assert got == {("contacts:1", "people:1"), ("handles:1", "people:1"), ("handles:2", "people:2"), ("contacts:1", "handles:1"), ("contacts:2", "handles:3"), ("contacts:2", "people:2"), ("contacts:8", "handles:8")}
+
+
 def test_queries_give_ordered_pairs(spark, data):
     for rows in (plan_addresses.p4_found(spark, data), plan_entities.p2_found(spark, data)):
         assert rows.columns == ["left_key", "right_key"]
