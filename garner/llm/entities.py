@@ -23,7 +23,7 @@ from garner.operators.components import connected_components
 from garner.session import cut, spread
 
 BANDS, ROWS = 12, 2
-#: A block of more records is split by the name bands of its members.
+#: A block of more records is split by the names of its members: ``name_keys`` and name bands.
 BLOCK_SIZE = 20
 #: Pairs drawn for training at most, in the order of their hash.
 TRAINING_PAIRS = 30_000
@@ -112,9 +112,40 @@ def name_bands(first: str, last: str) -> list[int]:
     return [xxhash.xxh32_intdigest(repr(mins[b * ROWS : (b + 1) * ROWS]), seed=b) for b in range(BANDS)]
 
 
+def _slips(word: str, places: int) -> set[str]:
+    """The word and the word without one of its first letters; words one slip apart there have one in common."""
+    return {word} | {word[:i] + word[i + 1 :] for i in range(min(places, len(word)))} if len(word) >= 4 else {word}
+
+
+def name_keys(first: str, last: str, aka=()) -> tuple[list[int], list[int]]:
+    """(keys as the left of a pair, keys as the right); records whose names can be one person's have one in common.
+
+    Complete for ``_last_names`` and ``_first_names``: two records with names that those don't tell
+    apart always meet, also without a last name. Many keys have two roles, such as short form and
+    full one, of which only different ones meet. A record without any name has no keys.
+    """
+    if not first and not last:
+        return [], []
+    both = {f"P{first[:2]}"} if len(first) > 1 else {f"S{first}"} if first else set()
+    short, full = {f"A{x}" for x in aka}, {f"A{first}", *(f"T{first[i : i + 3]}" for i in range(1, len(first) - 2))}
+    (short if len(first) == 1 else full).add(f"I{first[:1]}")
+    if len(first) >= 4:  # slips within the first two letters; from the third letter on, P meets
+        both |= {f"D{w}" for w in _slips(first, 3)}
+        short.add(f"T{first[:3]}")
+    firsts = [(k, k) for k in both] + [(f"{k}<", f"{k}>") for k in short] + [(f"{k}>", f"{k}<") for k in full]
+    if not last:
+        lasts = [("-", "+"), ("--", "--")]
+    else:
+        lasts = [("+", "-"), (f"{last[0]}<", f"{last[0]}>") if len(last) == 1 else (f"{last[0]}>", f"{last[0]}<")]
+    pairs = [(f"{x}|{y}", f"{v}|{w}") for x, v in firsts for y, w in lasts] if first else []
+    pairs += [(f"L{w}", f"L{w}") for w in (_slips(last, len(last)) if last else ())]
+    code = lambda text: xxhash.xxh64_intdigest(text) - (1 << 63)
+    return sorted({code(a) for a, _ in pairs}), sorted({code(b) for _, b in pairs})
+
+
 RAW = "rec string, side string, first string, last string, aka array<string>, phones array<string>, mails array<string>, locals array<string>, tails array<string>, masked boolean, around array<string>, sure boolean"
 #: What matching works on: the raw profile with the name set straight.
-PROFILE = RAW.replace("sure boolean", "usual long, bands array<long>")
+PROFILE = RAW.replace("sure boolean", "usual long, left_keys array<long>, right_keys array<long>")
 
 
 def profile(rec: str, side: str, name: str | None, sort_name: str | None = None, aka=(), phones=(), mails=(), accounts=(), remarks=()) -> tuple:
@@ -158,7 +189,7 @@ def profiles(rows: DataFrame, side: str, read) -> DataFrame:
 
 
 def straighten(raw: DataFrame) -> DataFrame:
-    """``RAW`` rows as ``PROFILE`` rows: names in reverse order turned, with the use of the first name and MinHash bands.
+    """``RAW`` rows as ``PROFILE`` rows: names in reverse order turned, with the use of the first name and the name's keys.
 
     Two words of unsure order are turned when the second stands first in other names far more
     often. ``usual`` counts the records with that first name.
@@ -175,7 +206,9 @@ def straighten(raw: DataFrame) -> DataFrame:
                 n, m = (0 if x != x or x is None else int(x) for x in (r["n_first"], r["n_last"]))
                 if not r["sure"] and r["last"] and len(r["last"]) > 1 and m > 3 * n:
                     r["first"], r["last"], n = r["last"], r["first"], m
-                out.append([r.get(c) for c in columns[:-2]] + [n, name_bands(r["first"], r["last"])])
+                bands = name_bands(r["first"], r["last"])
+                left, right = name_keys(r["first"], r["last"], [] if r["aka"] is None else r["aka"])
+                out.append([r.get(c) for c in columns[:-3]] + [n, bands + left, bands + right])
             yield pd.DataFrame(out, columns=columns)
 
     return cut(joined.mapInPandas(run, PROFILE))
@@ -184,28 +217,33 @@ def straighten(raw: DataFrame) -> DataFrame:
 def candidate_pairs(records: DataFrame) -> DataFrame:
     """Pairs (a, b) of records of different sides with the size of the smallest block of each kind.
 
-    Blocks of more than ``BLOCK_SIZE`` records are split by the members' name bands, so that a
-    number or mailbox many people use yields only pairs with similar names; records without a last
-    name then meet nobody there, as nothing tells whose number it is.
+    Blocks of more than ``BLOCK_SIZE`` records are split by the members' name keys and bands, and so
+    are all of partial numbers and surroundings: whatever the size, pairs meet whose names can be one
+    person's. What doesn't meet there is refused by ``matched_pairs``: names that contradict each
+    other, and records without any name, as nothing tells whose number it is.
     """
     plain = [("phone", "phones"), ("mail", "mails"), ("local", "locals")]
     keys = None
     for kind, column in plain:
-        part = records.select("rec", "side", "first", "bands", F.lit(kind).alias("kind"), F.explode(column).alias("token"))
+        part = records.select("rec", "side", "first", "left_keys", "right_keys", F.lit(kind).alias("kind"), F.explode(column).alias("token"))
         keys = part if keys is None else keys.unionByName(part)
     initial = F.when(F.col("first") != "", F.substring("first", 1, 1))
     sizes = keys.groupBy("kind", "token").agg(F.count_distinct("rec").alias("df"), (F.min(initial) != F.max(initial)).alias("contested")).where("df > 1")
     sized = keys.join(sizes, ["kind", "token"]).withColumn("contested", F.coalesce("contested", F.lit(False)))
-    band = F.explode(F.when(F.col("df") <= BLOCK_SIZE, F.array(F.lit(0).cast("long"))).otherwise(F.col("bands")))
-    blocks = sized.select("kind", "token", "rec", "side", "df", "contested", band.alias("band"))
+    whole = F.array(F.lit(0).cast("long"))
+    split = lambda c: F.when(F.col("df") <= BLOCK_SIZE, whole).otherwise(F.col(c)).alias(c)
+    blocks = sized.select("kind", "token", "rec", "side", "df", "contested", split("left_keys"), split("right_keys"))
     around = F.expr("flatten(transform(around, (x, i) -> transform(slice(around, i + 2, size(around)), y -> concat(x, '|', y))))")
     loose = None
     for kind, tokens in (("tail", F.col("tails")), ("around", around)):
-        part = records.select("rec", "side", F.lit(kind).alias("kind"), F.explode(tokens).alias("token"), "bands").select("kind", "token", "rec", "side", F.explode("bands").alias("band"))
+        part = records.select("rec", "side", F.lit(kind).alias("kind"), F.explode(tokens).alias("token"), "left_keys", "right_keys")
         loose = part if loose is None else loose.unionByName(part)
-    blocks = blocks.unionByName(loose.select("kind", "token", "rec", "side", F.lit(2).cast("long").alias("df"), F.lit(False).alias("contested"), "band"))
-    right = blocks.select("kind", "token", "band", F.col("rec").alias("b"), F.col("side").alias("side_b"))
-    met = blocks.withColumnRenamed("rec", "a").join(right, ["kind", "token", "band"]).where("side < side_b")
+    met_by = loose.groupBy("kind", "token").agg((F.min("side") != F.max("side")).alias("met")).where("met").drop("met")
+    loose = loose.join(met_by, ["kind", "token"])
+    blocks = blocks.unionByName(loose.select("kind", "token", "rec", "side", F.lit(2).cast("long").alias("df"), F.lit(False).alias("contested"), "left_keys", "right_keys"))
+    left = blocks.select("kind", "token", F.col("rec").alias("a"), "side", "df", "contested", F.explode("left_keys").alias("name_key"))
+    right = blocks.select("kind", "token", F.col("rec").alias("b"), F.col("side").alias("side_b"), F.explode("right_keys").alias("name_key"))
+    met = left.join(right, ["kind", "token", "name_key"]).where("side < side_b")
     pick = lambda kind: F.min(F.when(F.col("kind") == kind, F.col("df"))).alias(kind)
     return met.groupBy("a", "b").agg(pick("phone"), pick("mail"), pick("local"), F.min(F.when(F.col("kind").isin("phone", "mail"), F.col("contested").cast("int"))).alias("contested"))
 

@@ -116,6 +116,30 @@ def test_matching(spark):
     assert entities.matched_pairs(empty).count() == 0
 
 
+def test_names_that_can_be_one_have_a_key():
+    firsts = ["uma", "u", "ulf", "elizabeth", "beth", "jonas", "ojnas", "xonas", "onas", "jonsa", "bob", "robert", "rob", "hanna", "anna", "jo"]
+    lasts = ["", "r", "ravhoff", "arvhoff", "rahvoff", "ravhof", "lee"]
+    records = [(f, n, aka) for f in firsts for n in lasts for aka in ((), ("bob",))]
+    keys = [[set(k) for k in entities.name_keys(*r)] for r in records]
+    for ((f, n, aka), (left, _)), ((g, m, other), (_, right)) in itertools.permutations(zip(records, keys, strict=True), 2):
+        if entities._last_names(n, m) != "last_not" and entities._first_names(f, g, aka, other, 1000, 1) != "first_not":
+            assert left & right, (f, n, aka, g, m, other)
+
+
+@pytest.mark.parametrize("sharers", [20, 21, 60])
+def test_candidates_without_last_name(spark, sharers):
+    firsts = ["Odile", "Zed", "Greta", "Karl", "Ines", "Vito"]
+    raw = [entities.profile(f"people:{i}", "people", f"{firsts[i % 6]} {chr(97 + i % 26) * 3}holm", phones=["+1 202 999 0000"]) for i in range(sharers - 3)]
+    raw.append(entities.profile("people:u", "people", "Uma Ravhoff", phones=["+1 202 999 0000"]))
+    raw.append(entities.profile("contacts:u", "contacts", "Uma", phones=["+1 202 999 0000"]))
+    raw.append(entities.profile("contacts:i", "contacts", "U. R.", phones=["+1 202 999 0000"]))
+    raw.append(entities.profile("people:t", "people", "Nora Birkova", phones=["+44 7550 281234"], remarks=["met in Roskbermere, works at Whinchat"]))
+    raw.append(entities.profile("contacts:t", "contacts", "Nora", phones=["+44 ••• 1234"]))
+    raw.append(entities.profile("handles:t", "handles", "Nora", remarks=["Whinchat, Roskbermere"]))
+    pairs = {(r["a"], r["b"]) for r in entities.candidate_pairs(entities.straighten(spark.createDataFrame(raw, entities.RAW))).collect()}
+    assert {("contacts:u", "people:u"), ("contacts:i", "people:u"), ("contacts:t", "people:t"), ("handles:t", "people:t")} <= pairs
+
+
 def test_one_person_each(spark):
     rows = [
         ("contacts:1", "people:1", 0.9), ("contacts:1", "people:2", 0.8), ("handles:1", "people:1", 0.7), ("handles:2", "people:2", 0.9), ("contacts:1", "handles:1", 0.9), ("contacts:1", "handles:2", 0.9),
