@@ -25,6 +25,8 @@ from garner.session import cut, spread
 BANDS, ROWS = 12, 2
 #: A block of more records is split by the names of its members: ``name_keys`` and name bands.
 BLOCK_SIZE = 20
+#: A number, mailbox or account name is many people's if its records are more than so many times those of its commonest name.
+WIDE = 4
 #: Pairs drawn for training at most, in the order of their hash.
 TRAINING_PAIRS = 30_000
 DECIDE = 0.5
@@ -215,24 +217,36 @@ def straighten(raw: DataFrame) -> DataFrame:
 
 
 def candidate_pairs(records: DataFrame) -> DataFrame:
-    """Pairs (a, b) of records of different sides with the size of the smallest block of each kind.
+    """Pairs (a, b) of records of different sides with the smallest spread of a block of each kind.
+
+    The spread of a number, mailbox or account name is the number of its records as a multiple of
+    those with its commonest name (initial and last name). It doesn't grow with an archive in which
+    namesakes share the account names that are made of their names.
 
     Blocks of more than ``BLOCK_SIZE`` records are split by the members' name keys and bands, and so
     are all of partial numbers and surroundings: whatever the size, pairs meet whose names can be one
-    person's. What doesn't meet there is refused by ``matched_pairs``: names that contradict each
-    other, and records without any name, as nothing tells whose number it is.
+    person's, and in blocks of narrow spread also records without any name. What doesn't meet there
+    is refused by ``matched_pairs``: names that contradict each other, and records without any name
+    where nothing tells whose number it is.
     """
     plain = [("phone", "phones"), ("mail", "mails"), ("local", "locals")]
     keys = None
     for kind, column in plain:
-        part = records.select("rec", "side", "first", "left_keys", "right_keys", F.lit(kind).alias("kind"), F.explode(column).alias("token"))
+        part = records.select("rec", "side", "first", "last", "left_keys", "right_keys", F.lit(kind).alias("kind"), F.explode(column).alias("token"))
         keys = part if keys is None else keys.unionByName(part)
     initial = F.when(F.col("first") != "", F.substring("first", 1, 1))
-    sizes = keys.groupBy("kind", "token").agg(F.count_distinct("rec").alias("df"), (F.min(initial) != F.max(initial)).alias("contested")).where("df > 1")
+    called = F.when(F.col("last") != "", F.concat(initial, F.lit(" "), "last")).otherwise(F.col("first"))
+    names = keys.groupBy("kind", "token", called.alias("called")).agg(F.count_distinct("rec").alias("n"), F.min(initial).alias("low"), F.max(initial).alias("high"))
+    lead = F.greatest(F.max(F.when(F.col("called") != "", F.col("n"))), F.lit(1))
+    sizes = names.groupBy("kind", "token").agg(F.sum("n").alias("df"), (F.sum("n") / lead).alias("spread"), (F.min("low") != F.max("high")).alias("contested")).where("df > 1")
     sized = keys.join(sizes, ["kind", "token"]).withColumn("contested", F.coalesce("contested", F.lit(False)))
     whole = F.array(F.lit(0).cast("long"))
-    split = lambda c: F.when(F.col("df") <= BLOCK_SIZE, whole).otherwise(F.col(c)).alias(c)
-    blocks = sized.select("kind", "token", "rec", "side", "df", "contested", split("left_keys"), split("right_keys"))
+    # small numbers, which no hash of a name is: records without a name meet all, those with one only them
+    nameless, narrow = F.expr("first = '' and last = ''"), (F.col("spread") <= WIDE) & ~F.col("contested")
+    roles = lambda *n: F.array(*[F.lit(x).cast("long") for x in n])
+    met_nameless = {"left_keys": (roles(1, 2), roles(3)), "right_keys": (roles(1, 3), roles(2))}
+    split = lambda c: F.when(F.col("df") <= BLOCK_SIZE, whole).when(~narrow, F.col(c)).when(nameless, met_nameless[c][0]).otherwise(F.concat(c, met_nameless[c][1])).alias(c)
+    blocks = sized.select("kind", "token", "rec", "side", "spread", "contested", split("left_keys"), split("right_keys"))
     around = F.expr("flatten(transform(around, (x, i) -> transform(slice(around, i + 2, size(around)), y -> concat(x, '|', y))))")
     loose = None
     for kind, tokens in (("tail", F.col("tails")), ("around", around)):
@@ -240,11 +254,11 @@ def candidate_pairs(records: DataFrame) -> DataFrame:
         loose = part if loose is None else loose.unionByName(part)
     met_by = loose.groupBy("kind", "token").agg((F.min("side") != F.max("side")).alias("met")).where("met").drop("met")
     loose = loose.join(met_by, ["kind", "token"])
-    blocks = blocks.unionByName(loose.select("kind", "token", "rec", "side", F.lit(2).cast("long").alias("df"), F.lit(False).alias("contested"), "left_keys", "right_keys"))
-    left = blocks.select("kind", "token", F.col("rec").alias("a"), "side", "df", "contested", F.explode("left_keys").alias("name_key"))
+    blocks = blocks.unionByName(loose.select("kind", "token", "rec", "side", F.lit(1.0).alias("spread"), F.lit(False).alias("contested"), "left_keys", "right_keys"))
+    left = blocks.select("kind", "token", F.col("rec").alias("a"), "side", "spread", "contested", F.explode("left_keys").alias("name_key"))
     right = blocks.select("kind", "token", F.col("rec").alias("b"), F.col("side").alias("side_b"), F.explode("right_keys").alias("name_key"))
     met = left.join(right, ["kind", "token", "name_key"]).where("side < side_b")
-    pick = lambda kind: F.min(F.when(F.col("kind") == kind, F.col("df"))).alias(kind)
+    pick = lambda kind: F.min(F.when(F.col("kind") == kind, F.col("spread"))).alias(kind)
     return met.groupBy("a", "b").agg(pick("phone"), pick("mail"), pick("local"), F.min(F.when(F.col("kind").isin("phone", "mail"), F.col("contested").cast("int"))).alias("contested"))
 
 
@@ -286,12 +300,12 @@ def _vector(r: dict) -> np.ndarray:
     x = np.zeros(len(FEATURES))
     on = lambda f: x.__setitem__(_AT[f], 1.0)
     for kind in ("phone", "mail"):
-        df = r[kind]
-        if df == df and df:
-            on(kind if df <= 4 else f"{kind}_wide")
+        spread = r[kind]
+        if spread == spread and spread:
+            on(kind if spread <= WIDE else f"{kind}_wide")
     shared = set(r["locals_a"]) & set(r["locals_b"])
     if shared:
-        on("local_digits" if any(c.isdigit() for s in shared for c in s) else "local" if r["local"] == r["local"] and r["local"] and r["local"] <= 4 else "local_wide")
+        on("local_digits" if any(c.isdigit() for s in shared for c in s) else "local" if r["local"] == r["local"] and r["local"] and r["local"] <= WIDE else "local_wide")
     if r["masked_a"] or r["masked_b"]:
         if set(r["tails_a"]) & set(r["tails_b"]):
             on("tail")
@@ -407,7 +421,7 @@ def matched_pairs(records: DataFrame) -> DataFrame:
         terms = terms + F.col("x")[i] * F.lit(float(w))
     scored = features.withColumn("confidence", 1 / (1 + F.exp(-(terms * F.lit(scale) + F.lit(shift)))))
     has = lambda *names: F.greatest(*[F.col("x")[_AT[n]] for n in (*names, names[0])]) > 0
-    evidence = has("phone", "phone_wide", "mail", "mail_wide", "local_digits", "local", "tail", "around_2") | (has("local_wide") & ~has("phone_not", "mail_not", "tail_not"))
+    evidence = has("phone", "phone_wide", "mail", "mail_wide", "local_digits", "local", "local_wide", "tail", "around_2")
     clash = has("first_not", "last_not")
     nameless = has("first_gone") & has("last_gone") & (has("contested") | ~has("phone", "mail"))
     return scored.where(evidence & ~clash & ~nameless & (F.col("confidence") >= DECIDE)).select("a", "b", "confidence")

@@ -140,6 +140,29 @@ def test_candidates_without_last_name(spark, sharers):
     assert {("contacts:u", "people:u"), ("contacts:i", "people:u"), ("contacts:t", "people:t"), ("handles:t", "people:t")} <= pairs
 
 
+def test_evidence_does_not_depend_on_namesakes(spark, monkeypatch):
+    def archive(namesakes, others):
+        raw = [entities.profile("people:v", "people", "Vera Zimsen", mails=["vzimsen@a.test"]), entities.profile("handles:v", "handles", "Vera Zimsen", mails=["vzimsen@b.test"])]
+        raw += [entities.profile(f"people:{i}", "people", f"V{'aeiou'[i % 5]}{chr(98 + i)}o Zimsen", mails=[f"vzimsen@m{i}.test"]) for i in range(namesakes)]
+        raw += [entities.profile(f"contacts:{i}", "contacts", f"Jo {chr(97 + i) * 4}", mails=[f"vzimsen@n{i}.test"]) for i in range(others)]
+        records = entities.straighten(spark.createDataFrame(raw, entities.RAW))
+        x = entities.pair_features(entities.candidate_pairs(records), records).where("a = 'handles:v' and b = 'people:v'").first()["x"]
+        return {f for f, v in zip(entities.FEATURES, x, strict=True) if v}, records
+
+    (few, _), (many, _), (role, records) = archive(0, 0), archive(25, 0), archive(0, 25)
+    assert few == many >= {"local", "mail_not"} and "local_wide" in role
+    sure = [0.0] * len(entities.FEATURES) + [5.0]
+    monkeypatch.setattr(entities, "train", lambda sample: (sure, (1.0, 0.0)))
+    assert ("handles:v", "people:v") in {(r["a"], r["b"]) for r in entities.matched_pairs(records).collect()}
+
+
+def test_nameless_record_of_a_much_used_number(spark):
+    raw = [entities.profile(f"contacts:{i}", "contacts", "Uma Ravhoff", phones=["+1 202 999 0000"]) for i in range(24)]
+    raw += [entities.profile("handles:n", "handles", None, phones=["+1 202 999 0000"]), entities.profile("people:u", "people", "Uma Ravhoff", phones=["+1 202 999 0000"])]
+    records = entities.straighten(spark.createDataFrame(raw, entities.RAW))
+    assert ("handles:n", "people:u") in {(r["a"], r["b"]) for r in entities.matched_pairs(records).collect()}
+
+
 def test_one_person_each(spark):
     rows = [
         ("contacts:1", "people:1", 0.9), ("contacts:1", "people:2", 0.8), ("handles:1", "people:1", 0.7), ("handles:2", "people:2", 0.9), ("contacts:1", "handles:1", 0.9), ("contacts:1", "handles:2", 0.9),
