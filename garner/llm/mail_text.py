@@ -2,9 +2,9 @@
 
 Two sources of evidence say that a line is not new. Its place in the mail: quote marks, headings
 of quoted or forwarded mails, closing formula and signature, notices, list footers. And its
-history: threads are put together from thread ids and dates, words of earlier mails are hashed
-into rolling shingles, and runs of lines that align with an earlier mail are inherited, however
-they are marked.
+history: threads are put together from thread ids and dates, words of whole earlier mails are
+hashed into rolling shingles, and runs of words that stood in earlier mails are inherited, however
+they are marked. Below a heading without quote marks, history tells a reply from the quoted mail.
 """
 
 from __future__ import annotations
@@ -119,11 +119,19 @@ def _signature_ahead(lines: list[str], i: int) -> bool:
 
 def structural(body: str, sender: str = "") -> list[bool]:
     """For each line of ``body`` split at newlines, whether its place lets it be new text."""
+    return placed(body, sender)[0]
+
+
+def placed(body: str, sender: str = "", begun: bool = False) -> tuple[list[bool], int]:
+    """``structural``, and the index of the first line below headings whose quoted mail has no marks, or -1.
+
+    Lines from that one on are none of the new lines. ``begun``: something stands before ``body``.
+    """
     lines = [x.rstrip("\r") for x in body.split("\n")]
     names = {plain(x) for x in (sender, sender.split()[0] if sender.split() else "") if x}
     new = [False] * len(lines)
     i, tail, mark = 0, False, ""
-    begun = False  # a signature stands behind something
+    # a signature stands behind something, so ``begun`` lets one come
     notice = False
     while i < len(lines):
         raw, line = lines[i], lines[i].strip()
@@ -136,14 +144,14 @@ def structural(body: str, sender: str = "") -> list[bool]:
             while j < len(lines) and (not lines[j].strip() or _FIELD.match(lines[j].strip())):
                 j += 1
             if j >= len(lines) or not _QUOTED.match(lines[j]):
-                return new  # what follows without marks is the quoted or forwarded mail
+                return new, j if j < len(lines) else -1  # what follows without marks is the quoted or forwarded mail
             i, tail, mark, begun = j, False, ">", True
             continue
         if n := _attribution(lines, i):
             after = next((x for x in lines[i + n :] if x.strip()), "")
             mark = ">" if _QUOTED.match(after) else "|" if after.startswith("|") else " " if re.match(r"\s{2,}|\t", after) else ""
             if not mark and after:
-                return new
+                return new, i + n
             i, tail, begun = i + n, False, True
             continue
         if _QUOTED.match(raw) or (mark == "|" and raw.startswith("|")) or (mark == " " and re.match(r"\s{2,}|\t", raw)):
@@ -178,7 +186,16 @@ def structural(body: str, sender: str = "") -> list[bool]:
         else:
             new[i] = begun = True
         i += 1
-    return new
+    return new, -1
+
+
+def replies_below(lines: list[str], sender: str, seen: set[int]) -> list[int]:
+    """Indexes of the new lines among ``lines`` below headings without marks; ``seen``: those the thread's earlier mails have.
+
+    What stands before the first of those, has no words or has no place among new lines is not new.
+    """
+    rest = ["" if i in seen or i < min(seen) else x for i, x in enumerate(lines)]
+    return [i for i, x in enumerate(placed("\n".join(rest), sender, begun=True)[0]) if x and words_of(rest[i])]
 
 
 _WORD = re.compile(r"[^\W_]+")
@@ -213,65 +230,87 @@ def message_new_lines(mails: DataFrame) -> DataFrame:
     mails of its thread only where they share a rolling shingle, so a thread may hold any number
     of mails: shingles, not threads, are what is joined.
     """
-    kept = cut(structural_lines(mails).where("size(kept) > 0"))
-    lines = kept.select(F.col("id").alias("message_id"), F.explode("kept").alias("line_no"))
-    return lines.join(inherited_lines(kept), ["message_id", "line_no"], "left_anti")
+    read = cut(structural_lines(mails))
+    old = cut(inherited_lines(read))
+    lines = read.select(F.col("id").alias("message_id"), F.explode("kept").alias("line_no"))
+    kept = lines.join(old.where("inherited"), ["message_id", "line_no"], "left_anti")
+    below = old.groupBy(F.col("message_id").alias("id")).agg(F.collect_list("line_no").alias("seen"), F.collect_list(F.when(F.col("inherited"), F.col("line_no"))).alias("inherited"))
+    below = read.where("below > 0").join(below, "id").where("exists(inherited, n -> n >= below)")
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            found = [(i, n + k) for i, lines, n, seen, s in zip(b["id"], b["lines"], b["below"], b["seen"], b["sender"], strict=True) for k in replies_below(list(lines[n - 1 :]), s or "", {x - n for x in seen if x >= n})]
+            yield pd.DataFrame(found, columns=["message_id", "line_no"])
+
+    return kept.unionByName(below.select("id", "lines", "below", "seen", "sender").mapInPandas(run, "message_id string, line_no int"))
 
 
 def structural_lines(mails: DataFrame) -> DataFrame:
-    """(id, thread, at, kept, shown): numbers and texts of the lines whose place lets them be new."""
+    """(id, thread, at, sender, kept, lines, below): numbers of the lines whose place lets them be new, all lines, and the number of the first line below headings without marks or 0."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            kept = [[k + 1 for k, x in enumerate(structural(t, s or "")) if x] for t, s in zip(b["body"], b["sender"], strict=True)]
-            shown = [[split[n - 1] for n in lines] for split, lines in zip((t.split("\n") for t in b["body"]), kept, strict=True)]
-            yield pd.DataFrame({"id": b["id"], "thread": b["thread"], "at": b["at"], "kept": kept, "shown": shown})
+            found = [placed(t, s or "") for t, s in zip(b["body"], b["sender"], strict=True)]
+            yield pd.DataFrame({"id": b["id"], "thread": b["thread"], "at": b["at"], "sender": b["sender"], "kept": [[k + 1 for k, x in enumerate(new) if x] for new, _ in found], "lines": [t.split("\n") for t in b["body"]], "below": [at + 1 for _, at in found]})
 
-    schema = "id string, thread string, at long, kept array<int>, shown array<string>"
+    schema = "id string, thread string, at long, sender string, kept array<int>, lines array<string>, below int"
     return mails.where("body is not null").select("id", "thread", "at", "body", "sender").mapInPandas(run, schema)
 
 
 #: Words of a shingle and words in a row from which text counts as inherited.
-SHINGLE, LEAST_RUN = 5, 30
+SHINGLE, LEAST_RUN = 5, 9
+#: A shingle is a stock phrase if more than this share of the threads, and more than so many, have it.
+STOCK, STOCK_LEAST = 0.001, 3
+
 
+def shingles_of(read: DataFrame) -> DataFrame:
+    """Rolling shingles of whole mails: thread, id, at, source, place, hash, and the lines of the first and last word with their numbers of words.
 
-def shingles_of(kept: DataFrame) -> DataFrame:
-    """Rolling shingles of the kept lines: thread, id, at, place, hash, and the lines of the first and last word with their numbers of words."""
+    ``source``: whether later mails can have the words from there. Quoted lines of a mail without
+    a time tell nothing of that, as the quoted mail may be the one that seems later.
+    """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            out = []
-            for i, t, at, lines, shown in zip(b["id"], b["thread"], b["at"], b["kept"], b["shown"], strict=True):
-                words, owner, size = [], [], {}
-                for n, line in zip(lines, shown, strict=True):
+            out = {c: [] for c in ("thread", "id", "at", "source", "place", "hash", "line", "words", "line_b", "words_b")}
+            for i, t, at, kept, lines in zip(b["id"], b["thread"], b["at"], b["kept"], b["lines"], strict=True):
+                words, owner, size = [], [], []
+                for n, line in enumerate(lines, 1):
                     w = words_of(line)
                     words += w
                     owner += [n] * len(w)
-                    size[n] = len(w)
-                when = 0 if pd.isna(at) else int(at)
-                for p, h in enumerate(rolling_shingles(words, SHINGLE)):
-                    a, b = owner[p], owner[p + SHINGLE - 1]
-                    out.append((t, i, when, p, h, a, size[a], b, size[b]))
-            yield pd.DataFrame(out, columns=["thread", "id", "at", "place", "hash", "line", "words", "line_b", "words_b"])
+                    size += [len(w)] * len(w)
+                hashes = rolling_shingles(words, SHINGLE)
+                n, last = len(hashes), SHINGLE - 1
+                when, own = 0 if pd.isna(at) else int(at), set(kept)
+                source = [True] * n if when > 0 else [x in own and y in own for x, y in zip(owner, owner[last:], strict=False)]
+                for c, values in zip(out, ([t] * n, [i] * n, [when] * n, source, range(n), hashes, owner[:n], size[:n], owner[last:], size[last:]), strict=True):
+                    out[c] += values
+            yield pd.DataFrame(out)
 
-    return kept.where("thread is not null").mapInPandas(run, "thread string, id string, at long, place int, hash long, line int, words int, line_b int, words_b int")
+    return read.where("thread is not null").select("thread", "id", "at", "kept", "lines").mapInPandas(run, "thread string, id string, at long, source boolean, place int, hash long, line int, words int, line_b int, words_b int")
 
 
-def inherited_lines(kept: DataFrame) -> DataFrame:
-    """(message_id, line_no) of kept lines that align with an earlier mail of the thread.
+def inherited_lines(read: DataFrame) -> DataFrame:
+    """(message_id, line_no, inherited) of lines that stand in earlier mails of the thread.
 
-    A shingle's first occurrence in the thread, by (at, id), is where it was written. A shingle of
-    a later mail points to the place of that first occurrence. Shingles of one pair of mails with
-    equal distance between both places are an alignment; it counts from ``LEAST_RUN`` words on, as
-    shorter ones are stock phrases, and takes a line of which it covers 0.8 of the words.
+    A shingle is known if any earlier mail of the thread, by (at, id), has it. Known shingles one
+    after the other are a run: it holds every alignment with any one earlier mail, and those that
+    several of them share out. Lines of which known shingles cover 0.8 of the words are given;
+    ``inherited`` are those where runs of ``LEAST_RUN`` words or more without stock phrases do.
     """
-    spans = shingles_of(kept)
-    first = spans.groupBy("thread", "hash").agg(F.min(F.struct("at", "id", "place")).alias("f"))
-    met = spans.join(first, ["thread", "hash"]).where("f.id <> id")
-    met = met.select("id", "place", "line", "words", "line_b", "words_b", F.col("f.id").alias("origin"), (F.col("place") - F.col("f.place")).alias("shift"))
-    run = met.withColumn("n", F.count("*").over(Window.partitionBy("id", "origin", "shift"))).where(F.col("n") + (SHINGLE - 1) >= LEAST_RUN)
+    spans = shingles_of(read)
+    threads = spans.groupBy("thread", "hash").agg(F.min(F.when(F.col("source"), F.struct("at", "id"))).alias("f"), (F.min("id") != F.max("id")).alias("again"))
+    total = read.agg(F.count_distinct("thread")).first()[0]
+    stock = threads.groupBy("hash").agg(F.count("*").alias("threads")).where(F.col("threads") > max(STOCK_LEAST, STOCK * total)).select("hash", F.lit(True).alias("stock"))
+    first = threads.where("again and f is not null").drop("again").join(stock, "hash", "left")
+    known = spans.join(first, ["thread", "hash"]).where(F.col("f") < F.struct("at", "id")).where("f.id <> id")
+    rare = F.col("stock").isNull()
+    by_mail = Window.partitionBy("id", rare).orderBy("place")
+    run = known.withColumn("start", F.col("place") - F.row_number().over(by_mail)).withColumn("n", F.count("*").over(Window.partitionBy("id", rare, "start")))
     # first and last words of all shingles of a run are together all its words
+    strict = rare & (F.col("n") + (SHINGLE - 1) >= LEAST_RUN)
     ends = F.array(F.struct("place", "line", "words"), F.struct((F.col("place") + (SHINGLE - 1)).alias("place"), F.col("line_b").alias("line"), F.col("words_b").alias("words")))
-    words = run.select("id", F.explode(ends).alias("w")).select("id", "w.*")
-    lines = words.groupBy("id", "line").agg(F.count_distinct("place").alias("hit"), F.first("words").alias("words"))
-    return lines.where("hit >= 0.8 * words").select(F.col("id").alias("message_id"), F.col("line").alias("line_no"))
+    words = run.select("id", strict.alias("strict"), F.explode(ends).alias("w")).select("id", "strict", "w.*")
+    lines = words.groupBy("id", "line", "place").agg(F.max("strict").alias("strict"), F.first("words").alias("words")).groupBy("id", "line").agg(F.count("*").alias("hit"), F.count_if("strict").alias("strict"), F.first("words").alias("words"))
+    return lines.where("hit >= 0.8 * words").select(F.col("id").alias("message_id"), F.col("line").alias("line_no"), (F.col("strict") >= 0.8 * F.col("words")).alias("inherited"))

@@ -70,6 +70,48 @@ def test_inherited_runs(spark):
     assert {k: sorted(v) for k, v in got.items()} == {"1": [1], "2": [1, 8], "3": [1, 2, 3, 4, 5, 6], "4": [1, 2, 3, 4, 5, 6], "6": [1]}
 
 
+def new_lines(spark, rows):
+    got = {}
+    for r in mail_text.message_new_lines(spark.createDataFrame(rows, "id string, thread string, at long, sender string, body string")).collect():
+        got.setdefault(r["message_id"], []).append(r["line_no"])
+    return {k: sorted(v) for k, v in got.items()}
+
+
+def words(a, b, mark="w"):
+    return " ".join(f"{mark}{i}" for i in range(a, b))
+
+
+def test_short_and_returning_text_is_inherited(spark):
+    rows = [
+        ("1", "t", 1, "Ann Lee", f"{words(0, 20)}\n\nBest,\nAnn Lee\nHead of the western garden office and the seed store of Lamford"),
+        ("2", "t", 2, "Bob Roe", f"Fine, see below.\n{words(5, 17)}\nHead of the western garden office and the seed store of Lamford\nSo I will come."),
+        ("3", "t", 3, "Bob Roe", f"{words(0, 20)} {words(30, 38)}"),
+        ("4", "t", 4, "Ann Lee", f"Both as one:\n{words(0, 20)} {words(30, 38)}\nand {words(100, 120)}"),
+        ("5", "u", 5, "Bob Roe", f"> {words(200, 215)}\nYes."),
+        ("6", "u", 6, "Ann Lee", f"{words(200, 215)}\nNo."),
+        ("7", "v", None, "Bob Roe", f"> {words(300, 315)}\nYes."),
+        ("8", "v", 8, "Ann Lee", words(300, 315)),
+    ]
+    assert new_lines(spark, rows) == {"1": [1], "2": [1, 4], "3": [1], "4": [1, 3], "5": [2], "6": [2], "7": [2], "8": [1]}
+
+
+def test_stock_phrases_are_not_inherited(spark):
+    rows = [(f"{t}{k}", f"t{t}", k, "Ann Lee", f"{words(0, 15)}\n{words(0, 15, f'own{t}x{k}y')}") for t in range(6) for k in (1, 2)]
+    assert new_lines(spark, rows) == {r[0]: [1, 2] for r in rows}
+
+
+def test_replies_below_unmarked_headings(spark):
+    quoted = f"Hi Bob,\n{words(0, 12)}\n{words(12, 24)}\n\nBest,\nAnn"
+    heading = "-----Original Message-----\nFrom: Ann Lee <a@x.test>\nDate: 2024-01-01\n\n"
+    rows = [
+        ("1", "t", 1, "Ann Lee", quoted),
+        ("2", "t", 2, "Bob Roe", f"{heading}{quoted}\n\nMy answer stands down here.\n|\n\nCheers,\nBob"),
+        ("3", "t", 3, "Bob Roe", f"{heading}{words(0, 12)}\nAn answer in between.\n{words(12, 24)}"),
+        ("4", "t", 4, "Bob Roe", f"FYI\n\n{heading}{words(500, 520)}\nThat one nobody has."),
+    ]
+    assert new_lines(spark, rows) == {"1": [1, 2, 3], "2": [12], "3": [6], "4": [1]}
+
+
 def test_rolling_hash():
     words = [f"w{i % 7}" for i in range(40)]
     got = mail_text.rolling_shingles(words, 5)
