@@ -62,12 +62,16 @@ def packed(items: DataFrame, specs: DataFrame, group: int = GROUP, seed: int = S
     ``items``: doc_id, tokens; ``specs``: spec, capacity_tokens, a small table. A text longer than
     the capacity is cut into parts that fill whole containers and a rest; no other text is cut.
     Returns spec, doc_id, part_no, token_from, token_to, container, room: the container's unused
-    tokens. Texts without tokens take no room. Capacities below 1 and nulls are left out.
+    tokens. Texts without tokens take no room. Capacities below 1 and nulls are left out;
+    more than ``MOST_SPECS`` others raise an error.
     """
     total = items.count()
     groups = max(1, -(-total // group))
     sized = items.where("tokens is not null and doc_id is not null").withColumn("group", F.pmod(F.xxhash64(F.lit(seed), "doc_id"), F.lit(groups)).cast("int"))
-    wanted = [F.struct(F.lit(r["spec"]).alias("spec"), F.lit(int(r["capacity_tokens"])).cast("long").alias("capacity")) for r in specs.where("capacity_tokens >= 1 and spec is not null").limit(MOST_SPECS).collect()]
+    given = specs.where("capacity_tokens >= 1 and spec is not null").limit(MOST_SPECS + 1).collect()
+    if len(given) > MOST_SPECS:
+        raise ValueError(f"more than {MOST_SPECS} capacities")
+    wanted = [F.struct(F.lit(r["spec"]).alias("spec"), F.lit(int(r["capacity_tokens"])).cast("long").alias("capacity")) for r in given]
     schema = "spec string, doc_id long, part_no int, token_from long, token_to long, container string, room long"
     if not wanted:
         return items.sparkSession.createDataFrame([], schema)

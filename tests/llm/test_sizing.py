@@ -29,6 +29,13 @@ def test_tournament_is_first_fit(seed):
     assert packing.first_fit_decreasing(np.array(sizes), 100).tolist() == plain_first_fit(sizes, 100)
 
 
+def test_too_many_capacities_raise(spark):
+    items = spark.createDataFrame([(1, 5)], "doc_id long, tokens long")
+    specs = spark.range(packing.MOST_SPECS + 1).selectExpr("cast(id as string) as spec", "id + 1 as capacity_tokens")
+    with pytest.raises(ValueError, match="capacities"):
+        packing.packed(items, specs)
+
+
 def test_packing(spark):
     r = random.Random(3)
     items = [(i, r.randrange(0, 350)) for i in range(400)] + [(1000, 0), (1001, 100), (1002, 201), (1003, None), (None, 5)]
