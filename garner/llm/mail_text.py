@@ -14,6 +14,7 @@ import unicodedata
 from collections.abc import Iterator
 
 import pandas as pd
+import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -210,7 +211,7 @@ def rolling_shingles(words: list[str], size: int, base: int = 1_000_003, mask: i
     """Rolling hashes of every run of ``size`` words."""
     if len(words) < size:
         return []
-    codes = [int.from_bytes(w.encode()[:24], "big") % mask for w in words]
+    codes = [xxhash.xxh64_intdigest(w) % mask for w in words]
     top = pow(base, size - 1, mask)
     h = 0
     for c in codes[:size]:

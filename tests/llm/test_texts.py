@@ -119,6 +119,11 @@ def test_rolling_hash():
         assert (got[i] == got[j]) == (words[i : i + 5] == words[j : j + 5])
 
 
+def test_long_words_count_whole():
+    one, other = (["他们今天下午在花园里见面并且讨论" + end, "b", "c", "d", "e"] for end in ("屋顶", "晚饭"))
+    assert mail_text.rolling_shingles(one, 5) != mail_text.rolling_shingles(other, 5)
+
+
 ITEMS = [
     ("Write to <mailto:ann.lee+x@mail.test>.", [("email", "ann.lee+x@mail.test")]),
     ("We are @ the lake, ask @ann.", []),
