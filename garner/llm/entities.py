@@ -14,11 +14,10 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from garner.llm.addresses import fold
-from garner.llm.spelling import damerau
 from garner.operators.components import connected_components
 from garner.session import cut, spread
 
@@ -29,6 +28,8 @@ BLOCK_SIZE = 20
 WIDE = 4
 #: Pairs drawn for training at most, in the order of their hash.
 TRAINING_PAIRS = 30_000
+#: Records at most whose namesakes are training pairs beside those, in the order of their names' hash.
+TRAINING_NAMES = 10_000
 DECIDE = 0.5
 
 # Country calling codes of one and two digits; all others have three.
@@ -80,6 +81,8 @@ def name_parts(name: str | None, sort_name: str | None = None) -> tuple[str, str
     text = re.sub(r"(?<=[a-z])ae|(?<=[a-z])oe|(?<=[a-z])ue", lambda m: m[0][0], re.sub(_TITLES, " ", text))
     if "," in text:
         last, _, first = text.partition(",")
+        if not first.strip(" ."):
+            return "", (re.findall(r"[a-z][a-z']*", last) or [""])[-1], True
         text = f"{first} {last}"
     words = re.findall(r"[a-z][a-z']*\.?", text)
     words = [w for i, w in enumerate(words) if not (w.endswith(".") and 0 < i < len(words) - 1)]
@@ -122,8 +125,8 @@ def _slips(word: str, places: int) -> set[str]:
 def name_keys(first: str, last: str, aka=()) -> tuple[list[int], list[int]]:
     """(keys as the left of a pair, keys as the right); records whose names can be one person's have one in common.
 
-    Complete for ``_last_names`` and ``_first_names``: two records with names that those don't tell
-    apart always meet, also without a last name. Many keys have two roles, such as short form and
+    Complete for the features of names: two records whose names contradict each other in neither part
+    always meet, also without a last name. Many keys have two roles, such as short form and
     full one, of which only different ones meet. A record without any name has no keys.
     """
     if not first and not last:
@@ -194,20 +197,28 @@ def straighten(raw: DataFrame) -> DataFrame:
     """``RAW`` rows as ``PROFILE`` rows: names in reverse order turned, with the use of the first name and the name's keys.
 
     Two words of unsure order are turned when the second stands first in other names far more
-    often. ``usual`` counts the records with that first name.
+    often; a word alone, or beside an initial, is a last name when other names have it as such far
+    more often. ``usual`` counts the records with that first name.
     """
     raw = cut(spread(raw, "rec"))
-    use = raw.where("length(first) > 1").groupBy("first").agg(F.count("*").alias("n"))
-    joined = raw.join(use.withColumnRenamed("n", "n_first"), "first", "left").join(use.select(F.col("first").alias("last"), F.col("n").alias("n_last")), "last", "left")
+    words = F.array(F.struct(F.col("first").alias("word"), F.lit(1).alias("x"), F.lit(0).alias("y")), F.struct(F.col("last").alias("word"), F.lit(0).alias("x"), F.lit(1).alias("y")))
+    use = raw.where("last <> ''").select(F.explode(words).alias("w")).where("length(w.word) > 1").groupBy("w.word").agg(F.sum("w.x").alias("leads"), F.sum("w.y").alias("ends"))
+    called = raw.where("length(first) > 1").groupBy("first").agg(F.count("*").alias("n_first"))
+    joined = raw.join(called, "first", "left").join(use.select(F.col("word").alias("first"), F.col("leads").alias("leads_first"), F.col("ends").alias("ends_first")), "first", "left")
+    joined = joined.join(called.select(F.col("first").alias("last"), F.col("n_first").alias("n_last")), "last", "left")
+    counts = ("n_first", "n_last", "leads_first", "ends_first")
+    joined = joined.withColumns({c: F.coalesce(c, F.lit(0)) for c in counts})
     columns = [c.split()[0] for c in PROFILE.split(", ")]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             out = []
             for r in b.to_dict("records"):
-                n, m = (0 if x != x or x is None else int(x) for x in (r["n_first"], r["n_last"]))
-                if not r["sure"] and r["last"] and len(r["last"]) > 1 and m > 3 * n:
+                n, m = int(r["n_first"]), int(r["n_last"])
+                if not r["sure"] and len(r["first"]) > 1 and len(r["last"]) > 1 and m > 3 * n:
                     r["first"], r["last"], n = r["last"], r["first"], m
+                elif len(r["first"]) > 1 and len(r["last"]) <= 1 and r["ends_first"] > 3 * r["leads_first"]:
+                    r["first"], r["last"], n = r["last"], r["first"], 0
                 bands = name_bands(r["first"], r["last"])
                 left, right = name_keys(r["first"], r["last"], [] if r["aka"] is None else r["aka"])
                 out.append([r.get(c) for c in columns[:-3]] + [n, bands + left, bands + right])
@@ -225,14 +236,19 @@ def candidate_pairs(records: DataFrame) -> DataFrame:
 
     Blocks of more than ``BLOCK_SIZE`` records are split by the members' name keys and bands, and so
     are all of partial numbers and surroundings: whatever the size, pairs meet whose names can be one
-    person's, and in blocks of narrow spread also records without any name. What doesn't meet there
-    is refused by ``matched_pairs``: names that contradict each other, and records without any name
-    where nothing tells whose number it is.
+    person's, and in blocks of narrow spread also records without any name. What doesn't meet there has names that contradict each other,
+    or no name at all where nothing tells whose number it is. Account names also meet those that are the same but for
+    digits added behind.
     """
-    plain = [("phone", "phones"), ("mail", "mails"), ("local", "locals")]
+    # digits behind an account name: without one, two, ... of them it meets the account names that are written so
+    grown = F.expr("flatten(transform(locals, x -> transform(sequence(0, length(regexp_extract(x, '[0-9]*$', 0))), n -> substring(x, 1, length(x) - n))))")
+    shorter = F.array_distinct(F.expr("filter(__grown, x -> length(x) >= 4 and not array_contains(locals, x))"))
+    records = records.withColumn("__grown", grown).withColumn("__grown", shorter)
+    # (kind, tokens, whether the record is the left of a pair, and the right)
+    plain = [("phone", "phones", True, True), ("mail", "mails", True, True), ("local", "locals", True, True), ("grown<", "locals", True, False), ("grown<", "__grown", False, True), ("grown>", "__grown", True, False), ("grown>", "locals", False, True)]
     keys = None
-    for kind, column in plain:
-        part = records.select("rec", "side", "first", "last", "left_keys", "right_keys", F.lit(kind).alias("kind"), F.explode(column).alias("token"))
+    for kind, column, as_left, as_right in plain:
+        part = records.select("rec", "side", "first", "last", "left_keys", "right_keys", F.lit(kind).alias("kind"), F.explode(column).alias("token"), F.lit(as_left).alias("as_left"), F.lit(as_right).alias("as_right"))
         keys = part if keys is None else keys.unionByName(part)
     initial = F.when(F.col("first") != "", F.substring("first", 1, 1))
     called = F.when(F.col("last") != "", F.concat(initial, F.lit(" "), "last")).otherwise(F.col("first"))
@@ -246,7 +262,7 @@ def candidate_pairs(records: DataFrame) -> DataFrame:
     roles = lambda *n: F.array(*[F.lit(x).cast("long") for x in n])
     met_nameless = {"left_keys": (roles(1, 2), roles(3)), "right_keys": (roles(1, 3), roles(2))}
     split = lambda c: F.when(F.col("df") <= BLOCK_SIZE, whole).when(~narrow, F.col(c)).when(nameless, met_nameless[c][0]).otherwise(F.concat(c, met_nameless[c][1])).alias(c)
-    blocks = sized.select("kind", "token", "rec", "side", "spread", "contested", split("left_keys"), split("right_keys"))
+    blocks = sized.select("kind", "token", "rec", "side", "spread", "contested", split("left_keys"), split("right_keys"), "as_left", "as_right")
     around = F.expr("flatten(transform(around, (x, i) -> transform(slice(around, i + 2, size(around)), y -> concat(x, '|', y))))")
     loose = None
     for kind, tokens in (("tail", F.col("tails")), ("around", around)):
@@ -254,75 +270,68 @@ def candidate_pairs(records: DataFrame) -> DataFrame:
         loose = part if loose is None else loose.unionByName(part)
     met_by = loose.groupBy("kind", "token").agg((F.min("side") != F.max("side")).alias("met")).where("met").drop("met")
     loose = loose.join(met_by, ["kind", "token"])
-    blocks = blocks.unionByName(loose.select("kind", "token", "rec", "side", F.lit(1.0).alias("spread"), F.lit(False).alias("contested"), "left_keys", "right_keys"))
-    left = blocks.select("kind", "token", F.col("rec").alias("a"), "side", "spread", "contested", F.explode("left_keys").alias("name_key"))
-    right = blocks.select("kind", "token", F.col("rec").alias("b"), F.col("side").alias("side_b"), F.explode("right_keys").alias("name_key"))
+    blocks = blocks.unionByName(loose.select("kind", "token", "rec", "side", F.lit(1.0).alias("spread"), F.lit(False).alias("contested"), "left_keys", "right_keys", F.lit(True).alias("as_left"), F.lit(True).alias("as_right")))
+    left = blocks.where("as_left").select("kind", "token", F.col("rec").alias("a"), "side", "spread", "contested", F.explode("left_keys").alias("name_key"))
+    right = blocks.where("as_right").select("kind", "token", F.col("rec").alias("b"), F.col("side").alias("side_b"), F.explode("right_keys").alias("name_key"))
     met = left.join(right, ["kind", "token", "name_key"]).where("side < side_b")
     pick = lambda kind: F.min(F.when(F.col("kind") == kind, F.col("spread"))).alias(kind)
     return met.groupBy("a", "b").agg(pick("phone"), pick("mail"), pick("local"), F.min(F.when(F.col("kind").isin("phone", "mail"), F.col("contested").cast("int"))).alias("contested"))
 
 
 FEATURES = (
-    "phone", "phone_wide", "mail", "mail_wide", "local_digits", "local", "local_wide", "tail", "tail_not", "phone_not", "mail_not", "around_2", "around_1", "around_0", "contested",
-    "last", "last_near", "last_not", "last_gone", "first", "first_near", "first_not", "first_gone",
+    "phone", "phone_wide", "mail", "mail_wide", "local_digits", "local", "local_wide", "local_grown", "tail", "tail_not", "phone_not", "mail_not", "around_2", "around_1", "around_0", "contested",
+    "last", "last_near", "last_not", "last_gone", "first", "first_near", "first_not", "first_gone", "nameless_contested",
 )
 _AT = {f: i for i, f in enumerate(FEATURES)}
 
 
-def _last_names(a: str, b: str) -> str:
-    if not a or not b:
-        return "last_gone"
-    if a == b:
-        return "last"
-    short, long = sorted((a, b), key=len)
-    if len(short) == 1:
-        return "last_near" if long.startswith(short) else "last_not"
-    return "last_near" if len(short) >= 4 and damerau(a, b, 1) <= 1 else "last_not"
-
-
-def _first_names(a: str, b: str, aka_a, aka_b, use_a: int, use_b: int) -> str:
-    """How two first names go together; two usual names are different however near they are."""
-    if not a or not b:
-        return "first_gone"
-    if a == b:
-        return "first"
-    short, long = sorted((a, b), key=len)
-    if a in aka_b or b in aka_a or (len(short) == 1 and long.startswith(short)):
-        return "first_near"
-    if min(use_a, use_b) > 0.25 * max(use_a, use_b):
-        return "first_not"
-    common = next((i for i, (x, y) in enumerate(zip(a, b, strict=False)) if x != y), len(short))
-    near = long.startswith(short) or (len(short) >= 4 and damerau(a, b, 1) <= 1) or (common >= 3 and len(short) <= 5) or (common >= 2 and len(short) <= 4) or (len(short) >= 4 and short[:-1] in long)
-    return "first_near" if near else "first_not"
-
-
-def _vector(r: dict) -> np.ndarray:
-    x = np.zeros(len(FEATURES))
-    on = lambda f: x.__setitem__(_AT[f], 1.0)
-    for kind in ("phone", "mail"):
-        spread = r[kind]
-        if spread == spread and spread:
-            on(kind if spread <= WIDE else f"{kind}_wide")
-    shared = set(r["locals_a"]) & set(r["locals_b"])
-    if shared:
-        on("local_digits" if any(c.isdigit() for s in shared for c in s) else "local" if r["local"] == r["local"] and r["local"] and r["local"] <= WIDE else "local_wide")
-    if r["masked_a"] or r["masked_b"]:
-        if set(r["tails_a"]) & set(r["tails_b"]):
-            on("tail")
-        elif len(r["tails_a"]) and len(r["tails_b"]):
-            on("tail_not")
-    elif len(r["phones_a"]) and len(r["phones_b"]) and not set(r["phones_a"]) & set(r["phones_b"]):
-        on("phone_not")
-    if len(r["mails_a"]) and len(r["mails_b"]) and not set(r["mails_a"]) & set(r["mails_b"]):
-        on("mail_not")
-    if len(r["around_a"]) and len(r["around_b"]):
-        n = len(set(r["around_a"]) & set(r["around_b"]))
-        on(f"around_{min(n, 2)}")
-    if r["contested"] == 1:
-        on("contested")
-    on(_last_names(r["last_a"], r["last_b"]))
-    on(_first_names(r["first_a"], r["first_b"], r["aka_a"], r["aka_b"], r["usual_a"], r["usual_b"]))
-    return x
+def _one_slip(a: str, b: str) -> str:
+    """SQL: two words are one insertion, deletion, substitution or swap of neighbours apart, or equal."""
+    swap = f"exists(sequence(1, length({a}) - 1), i -> concat(substring({a}, 1, i - 1), substring({a}, i + 1, 1), substring({a}, i, 1), substring({a}, i + 2)) = {b})"
+    return f"(levenshtein({a}, {b}, 1) >= 0 or (length({a}) = length({b}) and length({a}) > 1 and {swap}))"
+
+
+def feature_columns() -> dict[str, Column]:
+    """``FEATURES`` of a row that holds two profiles, columns ending in _a and _b, as expressions.
+
+    Two usual first names are different however near they are, one rarely used beside a usual one
+    is a slip or a short form of it.
+    """
+    meet = lambda c: f"arrays_overlap({c}_a, {c}_b)"
+    apart = lambda c: f"(size({c}_a) > 0 and size({c}_b) > 0 and not {meet(c)})"
+    masked = "(masked_a or masked_b)"
+    shared = "array_intersect(locals_a, locals_b)"
+    digits = f"exists({shared}, x -> x rlike '[0-9]')"
+    grown = "exists(locals_{0}, x -> exists(locals_{1}, y -> length(y) > length(x) and substring(y, 1, length(x)) = x and substring(y, length(x) + 1) rlike '^[0-9]+$'))"
+    n_around = "size(array_intersect(around_a, around_b))"
+    known_around = "(size(around_a) > 0 and size(around_b) > 0)"
+    last_short = "if(length(last_a) <= length(last_b), last_a, last_b)"
+    last_long = "if(length(last_a) <= length(last_b), last_b, last_a)"
+    last_gone = "(last_a = '' or last_b = '')"
+    last_near = f"(not {last_gone} and last_a <> last_b and if(least(length(last_a), length(last_b)) = 1, startswith({last_long}, {last_short}), least(length(last_a), length(last_b)) >= 4 and {_one_slip('last_a', 'last_b')}))"
+    short = "if(length(first_a) <= length(first_b), first_a, first_b)"
+    long = "if(length(first_a) <= length(first_b), first_b, first_a)"
+    n_short, n_long = "least(length(first_a), length(first_b))", "greatest(length(first_a), length(first_b))"
+    first_gone = "(first_a = '' or first_b = '')"
+    called = f"(array_contains(aka_b, first_a) or array_contains(aka_a, first_b) or ({n_short} = 1 and startswith({long}, {short})))"
+    same_start = lambda n: f"({n_short} >= {n} and substring(first_a, 1, {n}) = substring(first_b, 1, {n}))"
+    alike = (
+        f"(startswith({long}, {short}) or ({n_short} >= 4 and {_one_slip('first_a', 'first_b')}) or ({same_start(3)} and {n_short} <= 5) or ({same_start(2)} and {n_short} <= 4)"
+        f" or ({n_short} >= 4 and contains({long}, substring({short}, 1, {n_short} - 1))))"
+    )
+    usual = "(least(usual_a, usual_b) > 0.25 * greatest(usual_a, usual_b))"
+    first_near = f"(not {first_gone} and first_a <> first_b and ({called} or (not {usual} and {alike})))"
+    tests = {
+        "phone": f"phone <= {WIDE}", "phone_wide": f"phone > {WIDE}", "mail": f"mail <= {WIDE}", "mail_wide": f"mail > {WIDE}",
+        "local_digits": digits, "local": f"size({shared}) > 0 and not {digits} and local <= {WIDE}", "local_wide": f"size({shared}) > 0 and not {digits} and coalesce(local > {WIDE}, true)",
+        "local_grown": f"size({shared}) = 0 and ({grown.format('a', 'b')} or {grown.format('b', 'a')})",
+        "tail": f"{masked} and {meet('tails')}", "tail_not": f"{masked} and {apart('tails')}", "phone_not": f"not {masked} and {apart('phones')}", "mail_not": apart("mails"),
+        "around_2": f"{known_around} and {n_around} >= 2", "around_1": f"{known_around} and {n_around} = 1", "around_0": f"{known_around} and {n_around} = 0", "contested": "contested = 1",
+        "last": f"not {last_gone} and last_a = last_b", "last_near": last_near, "last_not": f"not {last_gone} and last_a <> last_b and not {last_near}", "last_gone": last_gone,
+        "first": f"not {first_gone} and first_a = first_b", "first_near": first_near, "first_not": f"not {first_gone} and first_a <> first_b and not {first_near}", "first_gone": first_gone,
+        "nameless_contested": f"contested = 1 and {first_gone} and {last_gone}",
+    }
+    return {name: F.coalesce(F.expr(test), F.lit(False)).cast("double") for name, test in tests.items()}
 
 
 def pair_features(pairs: DataFrame, records: DataFrame) -> DataFrame:
@@ -330,47 +339,46 @@ def pair_features(pairs: DataFrame, records: DataFrame) -> DataFrame:
     use = ["rec", "first", "last", "aka", "phones", "mails", "locals", "tails", "masked", "around", "usual"]
     side = lambda s: records.select([F.col(c).alias(s if c == "rec" else f"{c}_{s}") for c in use])
     full = pairs.join(side("a"), "a").join(side("b"), "b")
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            yield pd.DataFrame({"a": b["a"], "b": b["b"], "x": [_vector(r) for r in b.to_dict("records")]})
-
-    return full.mapInPandas(run, "a string, b string, x array<double>")
+    columns = feature_columns()
+    return full.select("a", "b", F.array(*[columns[f] for f in FEATURES]).alias("x"))
 
 
 def weak_labels(x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Training rows, labels and row numbers from feature rows, by rules of thumb.
 
-    Positive: a number or mailbox few records have, with equal names. Negative: names that
-    contradict each other, or equal names with other numbers or mailboxes and nothing in common.
-    Copies without the attributes that gave the label, or without names, teach the classifier the
-    weight of what is left.
+    Positive: a number, mailbox or account name few records have, the end of a masked number or two
+    surroundings in common, with equal names. Negative: names
+    that contradict each other, and equal names with nothing else in common. Copies without the
+    attributes that gave the label, or without names, teach the classifier the weight of what is left.
     """
     f = lambda n: x[:, _AT[n]] > 0
-    strong = f("phone") | f("mail")
-    support = f("local_digits") | f("local") | f("tail") | (f("around_2"))
-    good = strong & (f("last") | f("last_near")) & (f("first") | f("first_near")) & (f("last") | f("first"))
-    bad = f("first_not") | f("last_not") | (~strong & ~support & (f("phone_not") | f("mail_not") | f("tail_not")))
+    strong = f("phone") | f("mail") | f("local_digits") | f("local") | f("local_grown")
+    support = f("local_digits") | f("local") | f("local_grown") | f("tail") | f("around_2")
+    alike = (f("last") | f("last_near")) & (f("first") | f("first_near")) & (f("last") | f("first"))
+    good = alike & (strong | support)
+    bad = f("first_not") | f("last_not") | ~(strong | support | f("phone_wide") | f("mail_wide") | f("local_wide"))
     names = [_AT[n] for n in FEATURES if n.startswith(("last", "first"))]
     shared = [_AT[n] for n in ("phone", "phone_wide", "mail", "mail_wide")]
     rows, labels, origin = [], [], []
-    for mask, label in ((good, 1), (bad & ~good, 0)):
-        at = np.flatnonzero(mask)
-        rows.append(x[at])
+
+    def add(at: np.ndarray, copies: np.ndarray, label: int) -> None:
+        rows.append(copies)
         labels.append(np.full(len(at), label))
         origin.append(at)
-        nameless = x[at[strong[at]]].copy()
+
+    for mask, label in ((good, 1), (bad & ~good, 0)):
+        at = np.flatnonzero(mask)
+        add(at, x[at], label)
+        held = at[strong[at]]
+        nameless = x[held].copy()
         nameless[:, names] = 0
         nameless[:, [_AT["last_gone"], _AT["first_gone"]]] = 1
-        rows.append(nameless)
-        labels.append(np.full(len(nameless), label))
-        origin.append(at[strong[at]])
+        nameless[:, _AT["nameless_contested"]] = nameless[:, _AT["contested"]]
+        add(held, nameless, label)
         kept = at[support[at] & strong[at]]
         unshared = x[kept].copy()
         unshared[:, shared] = 0
-        rows.append(unshared)
-        labels.append(np.full(len(unshared), label))
-        origin.append(kept)
+        add(kept, unshared, label)
     return np.vstack(rows), np.concatenate(labels), np.concatenate(origin)
 
 
@@ -407,24 +415,36 @@ def train(sample: np.ndarray) -> tuple[np.ndarray, tuple[float, float]]:
     return w, (float(scale), float(shift))
 
 
+def namesakes(records: DataFrame) -> DataFrame:
+    """(a, b) of records of different sides that follow one another among those of one name.
+
+    For training only: of records with both names, the ``TRAINING_NAMES`` whose names have the
+    smallest hashes. Most of the pairs are different people.
+    """
+    named = records.where("length(first) > 1 and length(last) > 1").select("rec", "side", "first", "last")
+    drawn = named.orderBy(F.xxhash64("first", "last"), "rec").limit(TRAINING_NAMES)
+    order = Window.partitionBy("first", "last").orderBy(F.xxhash64("rec"), "rec")
+    both = drawn.withColumn("next", F.lead(F.struct("rec", "side")).over(order)).where("next.side <> side")
+    return both.select(F.expr("if(side < next.side, rec, next.rec)").alias("a"), F.expr("if(side < next.side, next.rec, rec)").alias("b"))
+
+
 def matched_pairs(records: DataFrame) -> DataFrame:
-    """(a, b, confidence) of candidate pairs that are likely one person.
+    """(a, b, confidence) of candidate pairs that are likely one person: the classifier alone decides.
 
-    ``records``: rows of ``PROFILE``, one per record. Equal names alone match nobody: a pair needs
-    a number, mailbox, account name, partial number or surroundings in common.
+    ``records``: rows of ``PROFILE``, one per record.
     """
     features = cut(pair_features(candidate_pairs(records), records))
-    drawn = features.orderBy(F.xxhash64("a", "b")).limit(TRAINING_PAIRS).select("x").toPandas()["x"]
-    weights, (scale, shift) = train(np.array(drawn.tolist()) if len(drawn) else np.zeros((0, len(FEATURES))))
+    drawn = features.orderBy(F.xxhash64("a", "b")).limit(TRAINING_PAIRS).select("a", "b", "x").toPandas()
+    nothing = {c: F.lit(None).cast("double") for c in ("phone", "mail", "local")} | {"contested": F.lit(None).cast("int")}
+    apart = namesakes(records).withColumns(nothing).join(features.select("a", "b"), ["a", "b"], "left_anti")
+    others = pair_features(apart, records).toPandas()["x"]
+    rows = [*drawn["x"], *others]
+    weights, (scale, shift) = train(np.array([list(r) for r in rows]) if rows else np.zeros((0, len(FEATURES))))
     terms = F.lit(float(weights[-1]))
     for i, w in enumerate(weights[:-1]):
         terms = terms + F.col("x")[i] * F.lit(float(w))
     scored = features.withColumn("confidence", 1 / (1 + F.exp(-(terms * F.lit(scale) + F.lit(shift)))))
-    has = lambda *names: F.greatest(*[F.col("x")[_AT[n]] for n in (*names, names[0])]) > 0
-    evidence = has("phone", "phone_wide", "mail", "mail_wide", "local_digits", "local", "local_wide", "tail", "around_2")
-    clash = has("first_not", "last_not")
-    nameless = has("first_gone") & has("last_gone") & (has("contested") | ~has("phone", "mail"))
-    return scored.where(evidence & ~clash & ~nameless & (F.col("confidence") >= DECIDE)).select("a", "b", "confidence")
+    return scored.where(F.col("confidence") >= DECIDE).select("a", "b", "confidence")
 
 
 def one_person_each(matches: DataFrame, lead: str = "people") -> DataFrame:
