@@ -6,8 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from garner.functions.instants import with_utc_ms
-from garner.llm.mail_text import message_new_lines
-from garner.session import spread
+from garner.llm.mail_text import long_threads, message_lines, message_new_lines
 from garner.sources.tables import table
 
 
@@ -19,10 +18,20 @@ def mails(spark: SparkSession, folder: str) -> DataFrame:
     return one.select("id", "v.*")
 
 
+def _hot(spark: SparkSession, folder: str) -> DataFrame:
+    """Threads too long for one task, judged by their rows with repeats."""
+    return long_threads(table(spark, folder, "messages", "thread_id", "body").select(F.col("thread_id").alias("thread"), "body"))
+
+
 def p5_found(spark: SparkSession, folder: str) -> DataFrame:
     """Newly written non-blank lines of every mail."""
-    return message_new_lines(spread(mails(spark, folder), "id")).select("message_id", "line_no")
+    return message_new_lines(mails(spark, folder), _hot(spark, folder))
+
+
+def p5_paths(spark: SparkSession, folder: str) -> DataFrame:
+    """Non-blank lines by what tells that they are new or old."""
+    return message_lines(mails(spark, folder), _hot(spark, folder)).groupBy("path").agg(F.count("*").alias("lines"))
 
 
-QUERIES = {"p5_found": p5_found}
+QUERIES = {"p5_found": p5_found, "p5_paths": p5_paths}
 SQL: dict[str, str] = {}

@@ -59,7 +59,13 @@ def test_structure(body, want):
     assert new(body) == want
 
 
-def test_inherited_runs(spark):
+@pytest.fixture(params=["threads in one task", "threads joined by shingles"])
+def either_way(request, monkeypatch):
+    if request.param == "threads joined by shingles":
+        monkeypatch.setattr(mail_text, "WHOLE_THREAD", 0)
+
+
+def test_inherited_runs(spark, either_way):
     old = " ".join(f"word{i}" for i in range(60))
     quote = "\n".join(" ".join(f"word{i}" for i in range(a, a + 10)) for a in range(0, 60, 10))
     rows = [("1", "t", 1, "Ann", old), ("2", "t", 2, "Bob", f"My answer.\n{quote}\nMore."), ("3", "other", 2, "Bob", quote), ("4", None, 3, "Bob", quote), ("5", "t", None, None, None), ("6", "t", 4, "Bob", "word0 word1 word2 word3 word4 word5 word6 word7")]
@@ -81,7 +87,7 @@ def words(a, b, mark="w"):
     return " ".join(f"{mark}{i}" for i in range(a, b))
 
 
-def test_short_and_returning_text_is_inherited(spark):
+def test_short_and_returning_text_is_inherited(spark, either_way):
     rows = [
         ("1", "t", 1, "Ann Lee", f"{words(0, 20)}\n\nBest,\nAnn Lee\nHead of the western garden office and the seed store of Lamford"),
         ("2", "t", 2, "Bob Roe", f"Fine, see below.\n{words(5, 17)}\nHead of the western garden office and the seed store of Lamford\nSo I will come."),
@@ -95,12 +101,12 @@ def test_short_and_returning_text_is_inherited(spark):
     assert new_lines(spark, rows) == {"1": [1], "2": [1, 4], "3": [1], "4": [1, 3], "5": [2], "6": [2], "7": [2], "8": [1]}
 
 
-def test_stock_phrases_are_not_inherited(spark):
+def test_stock_phrases_are_not_inherited(spark, either_way):
     rows = [(f"{t}{k}", f"t{t}", k, "Ann Lee", f"{words(0, 15)}\n{words(0, 15, f'own{t}x{k}y')}") for t in range(6) for k in (1, 2)]
     assert new_lines(spark, rows) == {r[0]: [1, 2] for r in rows}
 
 
-def test_replies_below_unmarked_headings(spark):
+def test_replies_below_unmarked_headings(spark, either_way):
     quoted = f"Hi Bob,\n{words(0, 12)}\n{words(12, 24)}\n\nBest,\nAnn"
     heading = "-----Original Message-----\nFrom: Ann Lee <a@x.test>\nDate: 2024-01-01\n\n"
     rows = [
@@ -112,6 +118,19 @@ def test_replies_below_unmarked_headings(spark):
     assert new_lines(spark, rows) == {"1": [1, 2, 3], "2": [12], "3": [6], "4": [1]}
 
 
+def test_threads_span_batches_and_paths_are_told(spark):
+    old = words(0, 30)
+    rows = [(f"{t:02}{k}", f"t{t}", k, "Ann Lee", words(0, 30, f"m{t}x") if k == 1 else f"Yes {t}.\n> {words(0, 30, f'm{t}x')}\n{words(0, 30, f'm{t}x')}\n\nBest,\nAnn") for t in range(40) for k in (1, 2)]
+    df = spark.createDataFrame([*rows, ("z", None, None, None, old), ("n", "t1", 9, "x", None)], "id string, thread string, at long, sender string, body string")
+    small = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    spark.conf.set(small, "3")
+    got = {(r["message_id"], r["line_no"]): r["path"] for r in mail_text.message_lines(df).collect()}
+    spark.conf.unset(small)
+    want = {(r[0], 1): "new" for r in rows} | {("z", 1): "new"}
+    want |= {(f"{t:02}2", n): p for t in range(40) for n, p in ((2, "both"), (3, "alignment"), (5, "structure"), (6, "structure"))}
+    assert got == want
+
+
 def test_rolling_hash():
     words = [f"w{i % 7}" for i in range(40)]
     got = mail_text.rolling_shingles(words, 5)
