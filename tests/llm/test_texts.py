@@ -176,6 +176,45 @@ def test_names_and_redaction(spark):
     assert pii.personal_items(df.where("false"), names.where("false")).count() == 0
 
 
+def test_names_by_join_and_by_anchors_are_the_same(spark, data, monkeypatch):
+    from garner.llm import plan_pii
+
+    texts, names = plan_pii.texts(spark, data), plan_pii.names(spark, data)
+    by_anchor = rows_of(pii.personal_items(texts, names))
+    monkeypatch.setattr(pii, "MOST_NAMES", 0)
+    assert rows_of(pii.personal_items(texts, names)) == by_anchor and len(by_anchor[1]) > 100
+
+
+def test_no_window_bounds_an_item():
+    gap = " " * 200
+    cases = [
+        (f"Flat 7,{gap}132{gap}Kelp{gap}Rd, Cromvik.", "address"),
+        (f"Am Otterplatz,{gap}nein, {'Lang' * 60}platz 18 ist es.", "address"),
+        (f"passport {'which i renewed at last ' * 8}A12345678", "id_number"),
+        (f"+49 (0)155{gap}537{gap}64066", "phone"),
+        (f"order{gap}no.{gap}0155 5376 4066", None),
+        (f"{'x' * 300}@mail.test", "email"),
+        ("passport ready. And A12345678 is the shelf", None),
+    ]
+    for text, kind in cases:
+        assert [k for _, _, k in pii.find_items(text)[0]] == ([kind] if kind else []), text
+    spans, _ = pii.find_items(cases[0][0])
+    assert spans[0][:2] == (0, len(cases[0][0]) - 1)
+
+
+def test_taken_spans():
+    import random
+
+    rng, taken, used = random.Random(3), pii.Taken(), set()
+    for _ in range(400):
+        start = rng.randrange(3000)
+        end = start + rng.randrange(1, 12)
+        assert taken.free(start, end) == used.isdisjoint(range(start, end))
+        if rng.random() < 0.5:
+            taken.add(start, end)
+            used |= set(range(start, end))
+
+
 def test_long_text_is_read_whole():
     text = "word " * 50_000 + "ann@mail.test"
     assert [text[s:e] for s, e, _ in pii.find_items(text)[0]] == ["ann@mail.test"]
