@@ -8,9 +8,11 @@ buckets, so the model is two vectors of bounded size however large the corpus gr
 
 from __future__ import annotations
 
+import itertools
 import re
 import unicodedata
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -52,7 +54,8 @@ TRUSTED = [
     r"(?:access denied|permission denied|zugriff verweigert|acces refuse|acceso denegado|toegang geweigerd)\.?",
     r"(?:your session has expired|ihre sitzung ist abgelaufen|votre session a expire|su sesion ha (?:caducado|expirado)|uw sessie is verlopen)\.?",
     r"please (?:sign|log) in again\b.{0,30}",
-    r"(?:the|this) [a-z]+(?: [a-z]+)? (?:is temporarily unavailable|cannot be (?:shown|displayed|loaded)|could not be loaded)\.?",
+    r"(?:sorry,? )?(?:the|this) [a-z]+(?: [a-z]+)? (?:is (?:temporarily|currently) unavailable|(?:cannot|can't|could not|couldn't) be (?:shown|displayed|loaded|opened|found))(?: right now| at the moment)?\.?",
+    r"(?:sorry,? )?(?:we|i) (?:cannot|can't|could not|couldn't) (?:find|load|open|show|display) (?:that|this|the) (?:page|file|content|document|address)\.?",
     r".{0,30}\b(?:please )?(?:enable|allow|turn on|activate) (?:javascript|js|scripts|scripting|cookies) (?:to|in|for)\b.{0,50}",
     r"(?:bitte )?aktivieren sie (?:javascript|js|scripts|scripting|skripte|cookies)\b.{0,50}",
     r"(?:veuillez|merci d')\s*activer (?:javascript|js|(?:les )?scripts|scripting)\b.{0,40}",
@@ -77,11 +80,14 @@ _TRUSTED = re.compile("|".join(f"(?:{x})" for x in TRUSTED))
 _QUOTES = {"'": "'", '"': '"', "`": "`", "„": "“", "“": "”", "«": "»", "‘": "’"}
 _SPLIT = re.compile(r"(?<=[.!?])\s+|\s*\n\s*|\s+\|\s+")
 _TOKEN = re.compile(r"<field>|<quoted>|<path>|[^\W\d_]+(?:['’][^\W\d_]+)?|\d+|[{}\[\]<>$%#/:?!]")
-_PREFIX = re.compile(r"^(?:[>|*\-•]+|\[[ x]\]|\d+[.)]|(?:me|them|[A-Z]\w+):)\s+")
+_PREFIX = re.compile(r"^(?:[>|*\-•]+|\[[ x]\]|\d+[.)])\s+")
+_SPEAKER = re.compile(r"^(?:me|them|[A-Z]\w+):\s+")
+#: Every template field has one of these signs.
+_SIGN = re.compile(r"[{\[<$%#@*_]")
 
 
 def passages(text: str) -> list[str]:
-    """Sentences and lines of a text, without list and speaker marks."""
+    """Sentences and lines of a text, without list marks."""
     return [q for p in _SPLIT.split(text) if (q := _PREFIX.sub("", p.strip()).strip())]
 
 
@@ -100,17 +106,23 @@ def _field(m: re.Match, text: str) -> str:
 
 
 def features(passage: str) -> tuple[list[int], bool]:
-    """Hashed words and pairs of words of a passage, and whether it has a trusted form."""
-    shown = FIELD.sub(lambda m: _field(m, passage), passage)
+    """Hashed words and pairs of words of a passage, and whether it has a trusted form, with its speaker's name or without."""
+    shown = FIELD.sub(lambda m: _field(m, passage), passage) if _SIGN.search(passage) else passage
     low = shown.lower().replace("’", "'")
-    bare = "".join(c for c in unicodedata.normalize("NFKD", low) if not unicodedata.combining(c))
+    bare = low if low.isascii() else "".join(c for c in unicodedata.normalize("NFKD", low) if not unicodedata.combining(c))
     tokens = ["9" if t.isdigit() else t for t in _TOKEN.findall(low)]
-    words = [t for t in tokens if t[0].isalpha()]
+    words = sum(t[0].isalpha() for t in tokens)
     fields = tokens.count("<field>")
-    trusted = bool(_TRUSTED.fullmatch(bare.strip())) or (fields > 0 and len(words) <= 8 and "<quoted>" not in tokens) or fields > 2
+    trusted = bool(_TRUSTED.fullmatch(bare.strip())) or (fields > 0 and words <= 8 and "<quoted>" not in tokens) or fields > 2
+    if not trusted and (speaker := _SPEAKER.match(passage)):
+        trusted = bool(_TRUSTED.fullmatch(bare[len(speaker[0]) :].strip()))
     ends = ["^", *tokens, "$"]
-    names = {*tokens, *(f"{a} {b}" for a, b in zip(ends, ends[1:], strict=False))}
-    return sorted({xxhash.xxh32_intdigest(x) % BUCKETS for x in names}), trusted
+    return sorted({_bucket(x) for x in (*tokens, *map(" ".join, itertools.pairwise(ends)))}), trusted
+
+
+@lru_cache(1 << 17)
+def _bucket(name: str) -> int:
+    return xxhash.xxh32_intdigest(name) % BUCKETS
 
 
 def passage_table(documents: DataFrame) -> DataFrame:
@@ -118,24 +130,28 @@ def passage_table(documents: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            out = []
+            docs, keys, flags, lists, seen = [], [], [], [], {}
             for i, text in zip(b["doc_id"], b["text"], strict=True):
                 for p in passages(text):
-                    ids, trusted = features(p)
-                    if ids:
-                        out.append((i, xxhash.xxh64_intdigest(np.array(ids, np.int32).tobytes()) - (1 << 63), trusted, ids))
-            yield pd.DataFrame(out, columns=["doc_id", "key", "trusted", "ids"])
+                    if (got := seen.get(p)) is None:
+                        ids, trusted = features(p)
+                        ids = np.array(ids, np.int32)
+                        got = seen[p] = (xxhash.xxh64_intdigest(ids.tobytes()) - (1 << 63), trusted, ids)
+                    if len(got[2]):
+                        for column, value in zip((docs, keys, flags, lists), (i, *got), strict=True):
+                            column.append(value)
+            yield pd.DataFrame({"doc_id": docs, "key": keys, "trusted": flags, "ids": lists})
 
     return documents.where("text is not null").select("doc_id", "text").mapInPandas(run, "doc_id long, key long, trusted boolean, ids array<int>")
 
 
-def _chance(ids: pd.Series, trusted: np.ndarray, weights: np.ndarray, offset: float) -> np.ndarray:
-    """Probabilities of a batch of passages, none of which is without features."""
+def _chance(ids: pd.Series, weights: np.ndarray, offset: float) -> np.ndarray:
+    """Probabilities under the model of a batch of passages, none of which is without features."""
     if not len(ids):
         return np.zeros(0)
     starts = np.concatenate([[0], np.cumsum(ids.map(len).to_numpy())[:-1]])
     logit = offset + np.add.reduceat(weights[np.concatenate(ids.to_list())], starts)
-    return np.where(trusted, 1.0, 1 / (1 + np.exp(-np.clip(logit, -50, 50))))
+    return 1 / (1 + np.exp(-np.clip(logit, -50, 50)))
 
 
 def _counts(kinds: DataFrame, weights: np.ndarray | None, offset: float) -> tuple[np.ndarray, np.ndarray, float, float]:
@@ -153,7 +169,7 @@ def _counts(kinds: DataFrame, weights: np.ndarray | None, offset: float) -> tupl
             if not len(b):
                 continue
             n, trusted = b["n"].to_numpy(float), b["trusted"].to_numpy(bool)
-            p = np.where(trusted, 1.0, 0.0) if w is None else _chance(b["ids"], trusted, w, offset)
+            p = np.where(trusted, 1.0, 0.0 if w is None else _chance(b["ids"], w, offset))
             each, ids = b["ids"].map(len).to_numpy(), np.concatenate(b["ids"].to_list())
             for out, weight in ((pos, n * p), (neg, n * (1 - p))):
                 out[:-1] += np.bincount(ids, np.repeat(weight, each), BUCKETS)
@@ -188,16 +204,15 @@ def learn(kinds: DataFrame, rounds: int = ROUNDS) -> tuple[np.ndarray, float]:
 
 
 def score(kinds: DataFrame, weights: np.ndarray, offset: float) -> DataFrame:
-    """(key, p): the probability that a passage is residue; trusted passages have 1."""
+    """(key, p): the probability that a passage is residue. Trusted passages are scored like all others: their forms are labels to learn from, not answers."""
     shared = kinds.sparkSession.sparkContext.broadcast(weights)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         w = shared.value
         for b in batches:
-            p = _chance(b["ids"], b["trusted"].to_numpy(bool), w, offset)
-            yield pd.DataFrame({"key": b["key"], "p": p})
+            yield pd.DataFrame({"key": b["key"], "p": _chance(b["ids"], w, offset)})
 
-    return kinds.select("key", "ids", "trusted").mapInPandas(run, "key long, p double")
+    return kinds.select("key", "ids").mapInPandas(run, "key long, p double")
 
 
 def residue_records(documents: DataFrame, decide: float = DECIDE) -> DataFrame:
