@@ -12,12 +12,13 @@ import unicodedata
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType
 
-from garner.llm.spelling import canonical_words, damerau
+from garner.llm.spelling import canonical_words, damerau, near_words
 from garner.operators.components import connected_components
-from garner.session import cut
+from garner.session import cut, spread
 
 # Street types by the words that stand for them.
 TYPES = {
@@ -264,7 +265,7 @@ def parsed_addresses(records: DataFrame) -> DataFrame:
             got = [(a, *p) for a in batch["address"] if (p := parse(a))]
             yield pd.DataFrame(got, columns=["address", *FIELDS])
 
-    written = records.where("address is not null").groupBy("address").agg(F.count("*").alias("n")).select("address")
+    written = spread(records.where("address is not null").select("address"), "address").distinct()
     return records.join(written.mapInPandas(run, schema), "address")
 
 
@@ -279,13 +280,14 @@ def with_towns(parts: DataFrame) -> DataFrame:
 def ngram_links(forms: DataFrame, cosine: float = 0.55, size: int = 3) -> DataFrame:
     """Pairs (a, b) of forms with equal house number whose weighted n-grams reach ``cosine``.
 
-    ``forms``: form, house, shown. Weights are inverse document frequencies. With n-grams ordered
+    ``forms``: form, house, shown; ``house`` may be an array of keys, of which two forms need one in
+    common. Weights are inverse document frequencies. With n-grams ordered
     by falling weight, two vectors can only reach the threshold if they share an n-gram among those
     that come before the rest falls below it, so only these are indexed, and nothing is lost.
     """
     grams = forms.select("form", "house", F.explode(F.array_distinct(F.expr(f"transform(sequence(1, length(shown) - {size - 1}), i -> substring(shown, i, {size}))"))).alias("gram"))
-    spread = grams.groupBy("gram").agg(F.count("*").alias("df"))
-    weights = spread.select("gram", F.log(1 + F.lit(forms.count()) / F.col("df")).alias("w"))
+    uses = grams.groupBy("gram").agg(F.count("*").alias("df"))
+    weights = uses.select("gram", F.log(1 + F.lit(forms.count()) / F.col("df")).alias("w"))
     vector = F.sort_array(F.collect_list(F.struct("w", "gram")), asc=False)
     vectors = grams.join(weights, "gram").groupBy("form", "house").agg(vector.alias("v"))
     norm = F.sqrt(F.aggregate("v", F.lit(0.0), lambda s, x: s + x["w"] * x["w"]))
@@ -301,6 +303,8 @@ def ngram_links(forms: DataFrame, cosine: float = 0.55, size: int = 3) -> DataFr
     )
     vectors = vectors.withColumn("prefix", tails["n"])
     index = vectors.select("house", "form", F.explode(F.expr("slice(v, 1, prefix)")).alias("x")).select("house", "form", F.col("x.gram").alias("gram"))
+    if isinstance(forms.schema["house"].dataType, ArrayType):
+        index = index.withColumn("house", F.explode("house"))
     other = index.withColumnRenamed("form", "form_b")
     pairs = index.withColumnRenamed("form", "form_a").join(other, ["house", "gram"]).where("form_a < form_b").select("form_a", "form_b").distinct()
     left = vectors.select(F.col("form").alias("form_a"), F.col("v").alias("va"), F.col("norm").alias("na"))
@@ -321,30 +325,39 @@ def place_classes(records: DataFrame) -> DataFrame:
         parts = canonical_words(parts, column)
     parts = parts.withColumn("shown", F.concat(F.lit(" "), F.concat_ws(" ", "side", "street", "kind"), F.lit(" "), F.col("town"), F.lit(" ")))
     parts = parts.withColumn("form", F.xxhash64("house", "shown"))
-    parts = cut(parts.select("key", "form", "house", "kind", "side", "street", "town", "shown"))
-    forms = parts.groupBy("form").agg(*[F.first(c).alias(c) for c in ("house", "kind", "side", "street", "town", "shown")])
+    parts = cut(parts.select("key", "form", "house", "kind", "side", "street", "town", "shown", "code"))
+    forms = parts.groupBy("form").agg(*[F.first(c).alias(c) for c in ("house", "kind", "side", "street", "town", "shown")], F.collect_set(F.when(F.col("code") != "", F.col("code"))).alias("codes"))
     for column in ("street", "town"):
         usage = parts.groupBy(column).agg(F.count("*").alias(f"{column}_n"))
         forms = forms.join(usage, column)
     forms = cut(forms)
-    # what must be equal anyway belongs to the index key, so that fewer forms meet
-    links = ngram_links(forms.select("form", F.concat_ws("|", "house", "kind", "side").alias("house"), "shown"))
+    # what must be equal or near anyway belongs to the index keys, so that few forms meet: a town's
+    # keys are its own name and the names in use that are one slip away
+    towns = forms.where(f"length(town) >= {LEAST_SLIP} and not town rlike '[0-9]'").groupBy(F.col("town").alias("word")).agg(F.count("*").alias("n"))
+    near = near_words(towns).groupBy(F.col("word").alias("town")).agg(F.collect_list("usual").alias("near"))
+    keyed = forms.join(near, "town", "left")
+    own = F.concat(F.array("town"), F.coalesce("near", F.array().cast("array<string>")))
+    links = ngram_links(keyed.select("form", F.transform(own, lambda t: F.concat_ws("|", "house", "kind", "side", t)).alias("house"), "shown"))
     facts = forms.drop("house", "shown")
     a = facts.select([F.col(c).alias(f"{c}_a") for c in facts.columns])
     b = facts.select([F.col(c).alias(f"{c}_b") for c in facts.columns])
     both = links.join(a, F.col("a") == F.col("form_a")).join(b, F.col("b") == F.col("form_b"))
-    close = both.where("kind_a = kind_b and side_a = side_b").where(_near("street") & _near("town"))
+    close = both.where("kind_a = kind_b and side_a = side_b").where(_near("street", F.arrays_overlap("codes_a", "codes_b")) & _near("town", F.lit(False)))
     place = connected_components(forms.select(F.col("form").alias("node")), close.select("a", "b"))
     return parts.select("key", "form").join(place.withColumnRenamed("node", "form"), "form").select("key", F.col("component").alias("place"))
 
 
-def _near(column: str, ratio: float = 3.0):
-    """Equal, or one slip apart in words of five letters or more of which one is far more usual."""
+#: Letters from which on a word may have a slip.
+LEAST_SLIP = 5
+
+
+def _near(column: str, sure: Column, ratio: float = 3.0) -> Column:
+    """Equal, or one slip apart in words of ``LEAST_SLIP`` letters or more, of which one is far more usual unless the rest is ``sure``."""
     a, b, n, m = (F.col(f"{column}{x}") for x in ("_a", "_b", "_n_a", "_n_b"))
     swap = (F.length(a) == F.length(b)) & (F.levenshtein(a, b) == 2) & (F.sort_array(F.split(a, "")) == F.sort_array(F.split(b, "")))
-    slip = ((F.levenshtein(a, b) <= 1) | swap) & (F.greatest(n, m) >= ratio * F.least(n, m))
+    slip = ((F.levenshtein(a, b) <= 1) | swap) & (F.coalesce(sure, F.lit(False)) | (F.greatest(n, m) >= ratio * F.least(n, m)))
     digits = a.rlike("[0-9]") | b.rlike("[0-9]")
-    return (a == b) | (~digits & (F.least(F.length(a), F.length(b)) >= 5) & slip)
+    return (a == b) | (~digits & (F.least(F.length(a), F.length(b)) >= LEAST_SLIP) & slip)
 
 
 def member_pairs(members: DataFrame, class_column: str, key: str = "key", block: int = 2000) -> DataFrame:

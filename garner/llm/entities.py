@@ -17,7 +17,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from garner.llm.addresses import fold
+from garner.llm.addresses import fold, member_pairs
 from garner.operators.components import connected_components
 from garner.session import cut, spread
 
@@ -469,12 +469,14 @@ def one_person_each(matches: DataFrame, lead: str = "people") -> DataFrame:
     return firm.unionByName(rest.where(a.eqNullSafe(b)).select("a", "b", "confidence"))
 
 
-def same_person_pairs(records: DataFrame, matches: DataFrame) -> DataFrame:
-    """(left_key, right_key) of records of different sides in one component of ``matches``."""
-    from garner.llm.addresses import member_pairs
-
+def person_classes(matches: DataFrame) -> DataFrame:
+    """(key, person): the component of ``matches`` each matched record is in."""
     linked = matches.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    parts = cut(connected_components(linked, matches.select("a", "b")).select(F.col("node").alias("key"), F.col("component").alias("person")))
-    pairs = member_pairs(parts, "person")
+    return connected_components(linked, matches.select("a", "b")).select(F.col("node").alias("key"), F.col("component").alias("person"))
+
+
+def same_person_pairs(matches: DataFrame) -> DataFrame:
+    """(left_key, right_key) of records of different sides in one component of ``matches``."""
+    pairs = member_pairs(cut(person_classes(matches)), "person")
     side = lambda c: F.substring_index(c, ":", 1)
     return pairs.where(side("left_key") != side("right_key"))

@@ -31,5 +31,10 @@ def p4_found(spark: SparkSession, folder: str) -> DataFrame:
     return member_pairs(cut(place_classes(address_records(spark, folder))), "place")
 
 
-QUERIES = {"p4_found": p4_found}
+def p4_places(spark: SparkSession, folder: str) -> DataFrame:
+    """Class of every record with a postal address: ``p4_found`` without copies expanded into pairs."""
+    return place_classes(address_records(spark, folder))
+
+
+QUERIES = {"p4_found": p4_found, "p4_places": p4_places}
 SQL: dict[str, str] = {}

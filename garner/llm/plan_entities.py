@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from garner.llm.entities import json_strings, matched_pairs, one_person_each, profiles, same_person_pairs, straighten
+from garner.llm.entities import json_strings, matched_pairs, one_person_each, person_classes, profiles, same_person_pairs, straighten
 from garner.session import cut
 from garner.sources.tables import table
 
@@ -51,8 +51,12 @@ def person_records(spark: SparkSession, folder: str) -> DataFrame:
 
 def p2_found(spark: SparkSession, folder: str) -> DataFrame:
     """Pairs of records of different tables that are one person."""
-    records = person_records(spark, folder)
-    return same_person_pairs(records, cut(one_person_each(matched_pairs(records))))
+    return same_person_pairs(cut(one_person_each(matched_pairs(person_records(spark, folder)))))
+
+
+def p2_people(spark: SparkSession, folder: str) -> DataFrame:
+    """Class of every record that is matched with another: ``p2_found`` without classes expanded into pairs."""
+    return person_classes(cut(one_person_each(matched_pairs(person_records(spark, folder)))))
 
 
 def p2_confidence(spark: SparkSession, folder: str) -> DataFrame:
@@ -60,5 +64,5 @@ def p2_confidence(spark: SparkSession, folder: str) -> DataFrame:
     return matched_pairs(person_records(spark, folder)).select("a", "b", F.round("confidence", 4).alias("confidence"))
 
 
-QUERIES = {"p2_found": p2_found, "p2_confidence": p2_confidence}
+QUERIES = {"p2_found": p2_found, "p2_people": p2_people, "p2_confidence": p2_confidence}
 SQL: dict[str, str] = {}

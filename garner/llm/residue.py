@@ -76,7 +76,14 @@ TRUSTED = [
     r"type something\b.{0,20}",
     r"untitled(?: (?:body text|document|note|text))*",
 ]
-_TRUSTED = re.compile("|".join(f"(?:{x})" for x in TRUSTED))
+
+
+def compiled(forms: list[str]) -> re.Pattern:
+    """One pattern of all forms."""
+    return re.compile("|".join(f"(?:{x})" for x in forms))
+
+
+_TRUSTED = compiled(TRUSTED)
 _QUOTES = {"'": "'", '"': '"', "`": "`", "„": "“", "“": "”", "«": "»", "‘": "’"}
 _SPLIT = re.compile(r"(?<=[.!?])\s+|\s*\n\s*|\s+\|\s+")
 _TOKEN = re.compile(r"<field>|<quoted>|<path>|[^\W\d_]+(?:['’][^\W\d_]+)?|\d+|[{}\[\]<>$%#/:?!]")
@@ -105,7 +112,7 @@ def _field(m: re.Match, text: str) -> str:
     return " <field> "
 
 
-def features(passage: str) -> tuple[list[int], bool]:
+def features(passage: str, forms: re.Pattern = _TRUSTED) -> tuple[list[int], bool]:
     """Hashed words and pairs of words of a passage, and whether it has a trusted form, with its speaker's name or without."""
     shown = FIELD.sub(lambda m: _field(m, passage), passage) if _SIGN.search(passage) else passage
     low = shown.lower().replace("’", "'")
@@ -113,9 +120,9 @@ def features(passage: str) -> tuple[list[int], bool]:
     tokens = ["9" if t.isdigit() else t for t in _TOKEN.findall(low)]
     words = sum(t[0].isalpha() for t in tokens)
     fields = tokens.count("<field>")
-    trusted = bool(_TRUSTED.fullmatch(bare.strip())) or (fields > 0 and words <= 8 and "<quoted>" not in tokens) or fields > 2
+    trusted = bool(forms.fullmatch(bare.strip())) or (fields > 0 and words <= 8 and "<quoted>" not in tokens) or fields > 2
     if not trusted and (speaker := _SPEAKER.match(passage)):
-        trusted = bool(_TRUSTED.fullmatch(bare[len(speaker[0]) :].strip()))
+        trusted = bool(forms.fullmatch(bare[len(speaker[0]) :].strip()))
     ends = ["^", *tokens, "$"]
     return sorted({_bucket(x) for x in (*tokens, *map(" ".join, itertools.pairwise(ends)))}), trusted
 
@@ -125,16 +132,17 @@ def _bucket(name: str) -> int:
     return xxhash.xxh32_intdigest(name) % BUCKETS
 
 
-def passage_table(documents: DataFrame) -> DataFrame:
+def passage_table(documents: DataFrame, forms: list[str] = TRUSTED) -> DataFrame:
     """(doc_id, key, trusted, ids) of every passage. ``documents``: doc_id, text; null texts have none."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        pattern = compiled(forms)
         for b in batches:
             docs, keys, flags, lists, seen = [], [], [], [], {}
             for i, text in zip(b["doc_id"], b["text"], strict=True):
                 for p in passages(text):
                     if (got := seen.get(p)) is None:
-                        ids, trusted = features(p)
+                        ids, trusted = features(p, pattern)
                         ids = np.array(ids, np.int32)
                         got = seen[p] = (xxhash.xxh64_intdigest(ids.tobytes()) - (1 << 63), trusted, ids)
                     if len(got[2]):
@@ -215,13 +223,13 @@ def score(kinds: DataFrame, weights: np.ndarray, offset: float) -> DataFrame:
     return kinds.select("key", "ids").mapInPandas(run, "key long, p double")
 
 
-def residue_records(documents: DataFrame, decide: float = DECIDE) -> DataFrame:
+def residue_records(documents: DataFrame, decide: float = DECIDE, forms: list[str] = TRUSTED) -> DataFrame:
     """(doc_id, p) of the documents that hold residue: one passage or several of them make it likely.
 
-    ``documents``: doc_id, text. A document's probability joins those of its passages: it holds
+    ``documents``: doc_id, text; ``forms``: the trusted forms to learn from. A document's probability joins those of its passages: it holds
     residue unless none of them does. Null and empty texts are never returned.
     """
-    rows = cut(passage_table(spread(documents.select("doc_id", "text"), "doc_id")))
+    rows = cut(passage_table(spread(documents.select("doc_id", "text"), "doc_id"), forms))
     kinds = cut(rows.groupBy("key").agg(F.first("ids").alias("ids"), F.max("trusted").alias("trusted"), F.count("*").alias("n")))
     scored = score(kinds, *learn(kinds)).where("p > 0.01")
     none = F.sum(F.log(F.greatest(1 - F.col("p"), F.lit(1e-12))))

@@ -26,20 +26,28 @@ def damerau(a: str, b: str, limit: int) -> int:
     return row[-1]
 
 
-def canonical_words(rows: DataFrame, column: str, ratio: float = 3.0, least: int = 4) -> DataFrame:
-    """``rows`` with words of ``column`` replaced by the usual spelling one slip away.
+def near_words(words: DataFrame) -> DataFrame:
+    """Pairs (word, n, usual, usual_n) of different words one slip apart, each in both orders. ``words``: word, n.
 
-    Counts are taken over all rows. A word moves to its most frequent neighbour that is at least
-    ``ratio`` times as frequent; neighbours share one of the forms that come from leaving out a
-    letter, so all words within one insertion, deletion, substitution or swap are met without
-    comparing all pairs. Words shorter than ``least`` or with digits stay.
+    Neighbours share one of the forms that come from leaving out a letter, so all words within one
+    insertion, deletion, substitution or swap are met without comparing all pairs.
     """
-    words = rows.groupBy(F.col(column).alias("word")).agg(F.count("*").alias("n")).where(f"length(word) >= {least} and not word rlike '[0-9]'")
     drops = F.expr("transform(sequence(1, length(word)), i -> concat(substring(word, 1, i - 1), substring(word, i + 1)))")
-    keyed = words.select("word", "n", F.explode(F.array_distinct(F.concat(drops, F.array("word")))).alias("form"))
+    keyed = words.where("word <> ''").select("word", "n", F.explode(F.array_distinct(F.concat(drops, F.array("word")))).alias("form"))
     usual = keyed.select("form", F.col("word").alias("usual"), F.col("n").alias("usual_n"))
-    met = keyed.join(usual, "form").where(F.col("usual_n") >= ratio * F.col("n")).where("word <> usual").distinct()
+    met = keyed.join(usual, "form").where("word <> usual").distinct()
     swap = (F.length("word") == F.length("usual")) & (F.levenshtein("word", "usual") == 2)
     met = met.where((F.levenshtein("word", "usual") <= 1) | (swap & (F.sort_array(F.split("word", "")) == F.sort_array(F.split("usual", "")))))
+    return met.select("word", "n", "usual", "usual_n").distinct()
+
+
+def canonical_words(rows: DataFrame, column: str, ratio: float = 3.0, least: int = 4) -> DataFrame:
+    """``rows`` with words of ``column`` replaced by the usual spelling one slip away.
+
+    Counts are taken over all rows. A word moves to its most frequent neighbour that is at least
+    ``ratio`` times as frequent. Words shorter than ``least`` or with digits stay.
+    """
+    words = rows.groupBy(F.col(column).alias("word")).agg(F.count("*").alias("n")).where(f"length(word) >= {least} and not word rlike '[0-9]'")
+    met = near_words(words).where(F.col("usual_n") >= ratio * F.col("n"))
     best = met.groupBy("word").agg(F.max_by("usual", F.struct("usual_n", "usual")).alias("usual"))
     return rows.join(best, rows[column] == best["word"], "left").withColumn(column, F.coalesce("usual", column)).drop("word", "usual")

@@ -232,6 +232,19 @@ def test_residue(spark):
     assert residue.residue_records(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 
 
+def test_residue_without_a_third_of_the_forms(spark):
+    """What is found without a form of its own, on the given documents; nothing else may be found."""
+    from garner.sources.tables import table
+
+    documents = table(spark, "/root/testdata/sf0.1", "documents", "doc_id", "text")
+    every = {r["doc_id"] for r in residue.residue_records(documents).collect()}
+    for third in range(3):
+        forms = [x for k, x in enumerate(residue.TRUSTED) if k % 3 != third]
+        seeded = {r["doc_id"] for r in residue.passage_table(documents, forms).where("trusted").select("doc_id").distinct().collect()}
+        found = {r["doc_id"] for r in residue.residue_records(documents, forms=forms).collect()}
+        assert found <= every and len(found & (every - seeded)) >= 0.2 * len(every - seeded)
+
+
 @pytest.mark.parametrize("text", ["Your booking for #{host} starts at ${host}.", "Hola [[host]]:", "Reminder: [Insert city here] with <%= venue %>.", "We received *|NAME|*.", "Thank you, @@guest@@!", "Bonjour __NAME__,", "Dear %NAME%,", "Hi [object Object]", "Uw sessie is verlopen."])
 def test_trusted_forms(text):
     assert residue.features(text)[1]
