@@ -127,23 +127,26 @@ class Archive:
 
     def resolve(self, name: str) -> str:
         """Id of the one person who fits; raises when nobody or several do, or one only by a close spelling."""
-        few = [(r["id"], r["name"], r["rank"]) for r in self.who(name, 5).collect()]
-        if not few:
+        fits = latest(self._t("people", "id", "name", "updated_at"), ["id"], ["updated_at"]).withColumn("rank", match_rank(F.lit(name), F.col("name"))).where("rank is not null")
+        # counted over everyone who fits: only the list shown of an ambiguous name is limited
+        ranks = {r["rank"]: (r["n"], r["id"]) for r in fits.groupBy("rank").agg(F.count("*").alias("n"), F.min("id").alias("id")).collect()}
+        if not ranks:
             raise UnknownPerson(f"nobody fits {name!r}")
-        exact = [r for r in few if r[2] == 4]
-        if len(exact) == 1:
-            return exact[0][0]
-        if len(few) > 1:
-            raise AmbiguousPerson(f"several people fit {name!r}", few)
-        if few[0][2] == 1:
+        if ranks.get(4, (0, ""))[0] == 1:
+            return ranks[4][1]
+        direct = {r: v for r, v in ranks.items() if r > 1}
+        if sum(n for n, _ in direct.values()) == 1:
+            return next(iter(direct.values()))[1]
+        few = [(r["id"], r["name"], r["rank"]) for r in self.who(name, 5).collect()]
+        if not direct and ranks[1][0] == 1:
             raise AmbiguousPerson(f"did you mean {few[0][1]!r}?", few)
-        return few[0][0]
+        raise AmbiguousPerson(f"several people fit {name!r}", few)
 
     def _of_person(self, rows: DataFrame, person: str | None) -> DataFrame:
         if person is None:
             return rows
         keys = self._identifiers().where(F.col("id") == person).select(F.col("value").alias("person"))
-        return rows.join(F.broadcast(keys), "person", "left_semi")  # one person's identifiers
+        return rows.join(keys, "person", "left_semi")  # small, which the planner sees at run time
 
     def search(self, words: str = "", sources: tuple[str, ...] = SOURCES, limit: int = 20, after: str | None = None, before: str | None = None, who: str | None = None) -> DataFrame:
         """Newest matches over sources: ``MATCH`` columns, the text as runs with the matched words marked.

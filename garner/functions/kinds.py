@@ -8,6 +8,9 @@ from pyspark.sql import functions as F
 # Message and media kinds by raw number.
 MESSAGE_KINDS = {0: "text", 1: "image", 2: "video", 3: "audio", 4: "location", 5: "contact", 6: "system", 7: "link", 8: "document", 10: "group_event", 11: "gif", 14: "reaction", 15: "sticker", 59: "status_update"}
 MEDIA_KINDS = {1: "image", 2: "video", 3: "audio", 7: "link", 8: "document", 11: "gif", 15: "sticker"}
+# Forms of a chat's address with the kind each means, and the raw number of status chats.
+CHAT_FORMS = (("%@g.us", "group"), ("%@newsletter%", "newsletter"), ("%@status%", "status"), ("status@broadcast", "status"))
+STATUS_CHAT = 3
 
 
 def _named(raw: Column, names: dict[int, str]) -> Column:
@@ -27,5 +30,7 @@ def media_kind(raw: Column) -> Column:
 
 def chat_kind(jid: Column, raw: Column) -> Column:
     """Group, newsletter, status or direct chat, by the form of its address, then by its raw number."""
-    status = jid.contains("@status") | (jid == "status@broadcast") | (F.coalesce(raw, F.lit(0)) == 3)
-    return F.when(jid.endswith("@g.us"), "group").when(jid.contains("@newsletter"), "newsletter").when(status, "status").otherwise("dm")
+    forms = F.lit(None).cast("string")
+    for pattern, kind in CHAT_FORMS:
+        forms = F.coalesce(forms, F.when(jid.like(pattern), F.lit(kind)))
+    return F.coalesce(forms, F.when(raw == STATUS_CHAT, F.lit("status")), F.lit("dm"))

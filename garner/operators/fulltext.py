@@ -120,10 +120,9 @@ def fragment(text: str, query: str, size: int = 1000) -> str:
     shown = " ".join(text.split())
     if len(shown) <= size:
         return shown
-    low = shown.lower()
     at = None
     for w in dict.fromkeys(re.findall(r"\w+", query.lower())):
-        m = re.search(rf"(?<!\w){re.escape(w)}(?!\w)", low) if len(low) == len(shown) else None
+        m = re.search(rf"(?<!\w){re.escape(w)}(?!\w)", shown, re.IGNORECASE)
         if m and (at is None or m.start() < at[0]):
             at = m.span()
     start = 0

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from garner.functions.text import blank_to_null
@@ -64,3 +64,37 @@ def is_stale(updated: Column, now: Column, most_s: int) -> Column:
     if most_s <= 0:
         return updated.isNull()
     return updated.isNull() | (F.unix_seconds(now) - F.unix_seconds(updated) > most_s)
+
+
+def refresh_or_insert(stored: DataFrame, snapshot: DataFrame, key: str, current_snapshot: bool) -> DataFrame:
+    """``stored`` after a snapshot of the same columns: a current one refreshes what it holds, a historical one only adds what is missing; absence is no deletion."""
+    first, second = (snapshot, stored) if current_snapshot else (stored, snapshot)
+    return first.unionByName(second.join(first.select(key), key, "left_anti").select(*first.columns))
+
+
+def changed_since(before: DataFrame, now: DataFrame, key: str, marks: list[str]) -> DataFrame:
+    """(key, change) of entities that are new or whose marks differ from the look before; null marks equal null marks."""
+    old = before.select(key, *[F.col(m).alias(f"__{m}") for m in marks], F.lit(True).alias("__there"))
+    met = now.select(key, *marks).join(old, key, "left")
+    same = F.col("__there").isNotNull()
+    for m in marks:
+        same = same & F.col(m).eqNullSafe(F.col(f"__{m}"))
+    return met.where(~same).select(key, F.when(F.col("__there").isNull(), "new").otherwise("changed").alias("change"))
+
+
+def work_queue(wanted: DataFrame, done: DataFrame, keys: list[str], due: Column) -> DataFrame:
+    """(keys, reason): new work that nothing finished covers, and finished work for which ``due`` holds."""
+    new = wanted.join(done.select(*keys), keys, "left_anti").select(*keys, F.lit("new").alias("reason"))
+    return new.unionByName(wanted.select(*keys).join(done.where(due).select(*keys), keys, "left_semi").select(*keys, F.lit("refresh").alias("reason")))
+
+
+def capped_claims(asked: DataFrame, group: list[str], item: str, at: str, cap: int) -> DataFrame:
+    """The first ``cap`` claims of each group by time and item, numbered from 1; a repeated item claims once.
+
+    The cap is the feature. Each group keeps at most ``cap`` rows per block before groups are put together.
+    """
+    once = asked.groupBy(*group, item).agg(F.min(at).alias(at))
+    salted = once.withColumn("__salt", F.pmod(F.xxhash64(item), F.lit(64)))
+    order = [F.col(at), F.col(item)]
+    few = salted.withColumn("claim", F.row_number().over(Window.partitionBy(*group, "__salt").orderBy(*order))).where(F.col("claim") <= cap).drop("__salt")
+    return few.withColumn("claim", F.row_number().over(Window.partitionBy(*group).orderBy(*order))).where(F.col("claim") <= cap)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -10,7 +12,7 @@ from garner.operators.windows import latest
 from garner.plans.people import QUESTIONS, match_priority, name_ranks
 from garner.plans.people import SQL as PEOPLE_SQL
 from garner.sources.decoders import log_lines, run_summaries, split_addresses
-from garner.sources.tables import table
+from garner.sources.tables import MissingColumns, table
 
 APPLE_S = 978_307_200
 
@@ -148,16 +150,18 @@ def run_log(spark: SparkSession, folder: str) -> DataFrame:
 
 def federated_outcome(spark: SparkSession, folder: str) -> DataFrame:
     """Outcome per source, with failures kept apart, and the outcome of all: complete, partial or failed."""
-    rows = []
-    for name, column in (("tweets", "text"), ("messages", "body"), ("photos", "caption")):
+    parts = []
+    for name, column in (("tweets", "text"), ("messages", "body"), ("note_versions", "text"), ("contacts", "motto")):
         try:
-            hits = table(spark, folder, name, column).where(F.lower(column).contains("harbour")).count()
-            rows.append((name, "ok", hits))
-        except Exception:  # noqa: BLE001 - one source's failure must not stop the others
-            rows.append((name, "failed", 0))
-    good = sum(r[1] == "ok" for r in rows)
-    rows.append(("all", "complete" if good == len(rows) else "partial" if good else "failed", sum(r[2] for r in rows)))
-    return spark.createDataFrame(rows, "source string, outcome string, hits long")
+            rows = table(spark, folder, name, column)
+        except MissingColumns:  # one source's failure must not stop the others
+            parts.append(spark.range(1).select(F.lit(name).alias("source"), F.lit("failed").alias("outcome"), F.lit(0).cast("long").alias("hits")))
+            continue
+        parts.append(rows.agg(F.lit(name).alias("source"), F.lit("ok").alias("outcome"), F.count(F.when(F.lower(column).contains("harbour"), 1)).alias("hits")))
+    each = reduce(DataFrame.unionByName, parts)
+    good = F.count_if(F.col("outcome") == "ok")
+    whole = each.agg(F.lit("all").alias("source"), F.when(good == F.count("*"), "complete").when(good > 0, "partial").otherwise("failed").alias("outcome"), F.sum("hits").alias("hits"))
+    return each.unionByName(whole)
 
 
 QUERIES = {
@@ -234,6 +238,7 @@ select event_uid, from_s, from_s + case length(v) when 16 then 59 when 10 then 8
 select 'run-' || cast(user_id % 50 as varchar) as run_id, 'update' as command, cast(min(floor(epoch(ts))) as bigint) as started_s, cast(max(floor(epoch(ts))) as bigint) as finished_s,
        count(*) as lines, count(*) filter (event_type = 'error') as errors from events group by 1""",
     "federated_outcome": """
-with r as (select 'tweets' as source, 'ok' as outcome, count(*) as hits from tweets where contains(lower(text), 'harbour') union all select 'messages', 'ok', count(*) from messages where contains(lower(body), 'harbour'))
-select * from r union all select 'photos', 'failed', 0 union all select 'all', 'partial', cast(sum(hits) as bigint) from r""",
+with r as (select 'tweets' as source, 'ok' as outcome, count(*) as hits from tweets where contains(lower(text), 'harbour') union all select 'messages', 'ok', count(*) from messages where contains(lower(body), 'harbour')
+  union all select 'note_versions', 'ok', count(*) from note_versions where contains(lower(text), 'harbour'))
+select * from r union all select 'contacts', 'failed', 0 union all select 'all', 'partial', cast(sum(hits) as bigint) from r""",
 }

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from garner.functions.instants import with_utc_ms
 from garner.functions.text import blank_to_null, first_shown, human_name, looks_like_phone, shorten
 from garner.sources.tables import table
 
@@ -86,11 +87,10 @@ def notes_by_prefix(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def open_events(spark: SparkSession, folder: str) -> DataFrame:
-    """Confirmed events whose canonical start lies in the future of the fixed now."""
-    e = table(spark, folder, "calendar_events", "event_uid", "calendar_title", "start_time", "status").distinct()
-    start = F.try_to_timestamp("start_time", F.lit("yyyy-MM-dd'T'HH:mm:ssX"))
-    e = e.where(F.col("start_time").rlike(r"^\d{4}-\d\d-\d\dT\d\d:\d\d:\d\dZ$")).withColumn("start_s", F.unix_seconds(start))
-    return e.where(f"start_s >= {NOW_S}").select("event_uid", "calendar_title", "start_s", "status")
+    """Events whose start, in whatever form it is written, lies in the future of the fixed now; cancelled ones too, as their status tells."""
+    e = table(spark, folder, "calendar_events", "event_uid", "calendar_title", "start_time", "start_tz", "status").distinct()
+    e = with_utc_ms(e, "start_time", "start_tz", "ms").withColumn("start_s", F.floor(F.col("ms") / 1000).cast("long"))
+    return e.where(f"start_s >= {NOW_S}").select("event_uid", "calendar_title", "start_s", "status").distinct()
 
 
 def unread_mails(spark: SparkSession, folder: str) -> DataFrame:
@@ -221,9 +221,6 @@ with v as (select note_id, arg_max({'t': title, 'f': folder}, {'a': first_observ
 select note_id, s.t as title, s.f as folder, cast(floor(epoch(seen_at)) as bigint) as at_s from v
 where decoded and s.f is distinct from 'Recently Deleted'""",
     "notes_by_prefix": "select distinct note_id, title, note_id = 'plan' as exact from note_versions where lower(title) like 'plan%' or note_id = 'plan'",
-    "open_events": """
-select distinct event_uid, calendar_title, cast(epoch(cast(replace(replace(start_time, 'T', ' '), 'Z', '') as timestamp)) as bigint) as start_s, status
-from calendar_events where regexp_full_match(start_time, '\\d{4}-\\d\\d-\\d\\dT\\d\\d:\\d\\d:\\d\\dZ') and substr(start_time, 1, 4) <> '0000' and start_time >= '2024-06-01T00:00:00Z'""",
     "unread_mails": """
 select thread_id, count(distinct id) as mails, count(distinct case when list_contains(from_json(labels_json, '["VARCHAR"]'), 'UNREAD') then id end) as unread from messages group by 1""",
     "message_timeline": """

@@ -70,9 +70,11 @@ def mail_fragments(spark: SparkSession, folder: str) -> DataFrame:
 def people_by_prefix(spark: SparkSession, folder: str) -> DataFrame:
     """People of whom some field has, for every word of the query, a word that begins with it."""
     p = table(spark, folder, "people", "id", "name", "sort_name", "relationship_context").distinct()
-    words = F.split(F.trim(word_line(F.concat_ws(" ", "name", "sort_name", "relationship_context"))), " ")
-    hit = F.forall(F.array(F.lit("ja"), F.lit("l")), lambda q: F.exists(words, lambda w: w.startswith(q)))
-    return p.where(hit).select("id")
+    v = table(spark, folder, "contact_values", "person_id", "value").where("value is not null").distinct()
+    fields = p.select("id", F.explode(F.array("name", "sort_name", "relationship_context")).alias("field")).unionByName(v.select(F.col("person_id").alias("id"), F.col("value").alias("field")))
+    words = fields.select("id", F.explode(F.split(F.trim(word_line(F.col("field"))), " ")).alias("word"))
+    begins = [F.max(F.col("word").startswith(q)).alias(q) for q in ("ja", "l")]
+    return words.groupBy("id").agg(*begins).where("ja and l").join(p.select("id").distinct(), "id", "left_semi").select("id")
 
 
 def note_scores(spark: SparkSession, folder: str) -> DataFrame:
@@ -126,7 +128,8 @@ select word, count(distinct doc_id) as documents, count(*) as places
 from (select doc_id, unnest(string_split(trim({_line('text')}), ' ')) as word from documents where text is not null) where word <> '' group by 1""",
     "unmarked_posts": "select distinct id, true as same from tweets where contains(lower(text), 'weather')",
     "people_by_prefix": f"""
-with p as (select distinct id, string_split(trim({_line("concat_ws(' ', name, sort_name, relationship_context)")}), ' ') as w from people)
+with f as (select id, concat_ws(' ', name, sort_name, relationship_context) as t from people union all select person_id, value from contact_values where person_id in (select id from people)),
+p as (select id, string_split(trim({_line("string_agg(t, ' ')")}), ' ') as w from f group by id)
 select id from p where len(list_filter(w, lambda x: starts_with(x, 'ja'))) > 0 and len(list_filter(w, lambda x: starts_with(x, 'l'))) > 0""",
     "note_scores": """
 select note_id, max(s) as score from (

@@ -9,9 +9,9 @@ from garner.streaming.pages import drain, page_loop, stream_table, windowed_coun
 
 
 def streamed_windows(spark: SparkSession, folder: str) -> DataFrame:
-    """Events per day and type, counted by a stream; days still open at the end are not emitted."""
+    """Events per day and type, counted by a stream; rows up to seven days late are counted, days still open at the end are not emitted."""
     e = stream_table(spark, folder, "events").select(F.col("ts").cast("timestamp").alias("at"), "event_type")
-    counts = drain(windowed_counts(e, "at", ["event_type"], "1 day", "0 seconds"), spark, "windows")
+    counts = drain(windowed_counts(e, "at", ["event_type"], "1 day", "7 days"), spark, "windows")
     return counts.select(F.unix_seconds("window.start").alias("day_s"), "event_type", "n")
 
 
@@ -34,7 +34,7 @@ QUERIES = {f.__name__: f for f in (streamed_windows, paged_posts, page_cursors)}
 SQL = {
     "streamed_windows": """
 with e as (select cast(floor(epoch(ts) / 86400) * 86400 as bigint) as day_s, event_type from events), m as (select max(epoch(ts)) as newest from events)
-select day_s, event_type, count(*) as n from e, m where day_s + 86400 <= newest group by 1, 2""",
+select day_s, event_type, count(*) as n from e, m where day_s + 8 * 86400 <= newest group by 1, 2""",
     "paged_posts": "select id, arg_max(author_id, ingested_at) as author_id, cast(floor(epoch(max(ingested_at))) as bigint) as seen_s from tweets group by 1",
     "page_cursors": "select count(*) as rows_read, cast(floor(epoch(max(ingested_at))) as bigint) as cursor_s from tweets",
 }

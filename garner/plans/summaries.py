@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from functools import reduce
+
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from garner.functions.instants import with_utc_ms
 from garner.functions.text import case_quality
+from garner.operators.segments import blocks, running
 from garner.operators.windows import best_by_rank, context, latest, top_per_source
+from garner.sources.decoders import split_addresses
 from garner.sources.tables import table
 
 APPLE_S = 978_307_200
@@ -94,13 +99,10 @@ def top_posts(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def activity_by_address(spark: SparkSession, folder: str) -> DataFrame:
-    """Mail activity of each address as sender or receiver, over a union of both roles."""
-    m = table(spark, folder, "messages", "id", "from_address", "to_address").distinct()
-    bare = lambda c: F.lower(F.coalesce(F.regexp_extract(c, r"<([^<>]+)>", 1), F.lit("")))
-    sent = m.select("id", F.lower(F.trim("from_address")).alias("address"), F.lit("from").alias("role"))
-    received = m.select("id", F.explode(F.split("to_address", r"\s*,\s*")).alias("t"))
-    received = received.select("id", F.when(bare(F.col("t")) != "", bare(F.col("t"))).otherwise(F.lower(F.trim("t"))).alias("address"), F.lit("to").alias("role"))
-    both = sent.unionByName(received).where("address <> ''")
+    """Mail activity of each address as sender, receiver or in copy, over a union of the three roles."""
+    m = table(spark, folder, "messages", "id", "from_address", "to_address", "cc_address").distinct()
+    parts = [m.select("id", F.explode(split_addresses(F.col(f"{role}_address"))).alias("p"), F.lit(role).alias("role")) for role in ("from", "to", "cc")]
+    both = reduce(DataFrame.unionByName, parts).select("id", "role", F.col("p.address").alias("address")).where("address <> ''")
     return both.groupBy("address").agg(F.count_distinct("id").alias("mails"), F.count_distinct(F.when(F.col("role") == "from", F.col("id"))).alias("sent"))
 
 
@@ -141,8 +143,9 @@ def best_names(spark: SparkSession, folder: str) -> DataFrame:
 def version_ordinals(spark: SparkSession, folder: str) -> DataFrame:
     """Decoded sightings with the number of more recent ones of the same note."""
     v = table(spark, folder, "note_versions", "note_id", "observation_id", "first_observed_at").distinct()
-    w = Window.partitionBy("note_id").orderBy(F.desc("first_observed_at"), F.desc("observation_id"))
-    return v.select("note_id", "observation_id", (F.row_number().over(w) - 1).alias("more_recent"))
+    placed = running(blocks(v, ["note_id"], ["first_observed_at", "observation_id"]), ["note_id"], ["first_observed_at", "observation_id"])
+    sizes = v.groupBy("note_id").agg(F.count("*").alias("n"))
+    return placed.join(sizes, "note_id").select("note_id", "observation_id", (F.col("n") - F.col("position")).cast("int").alias("more_recent"))
 
 
 def as_of_versions(spark: SparkSession, folder: str) -> DataFrame:
@@ -160,11 +163,10 @@ def message_context(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def event_order(spark: SparkSession, folder: str) -> DataFrame:
-    """Rank of events with a canonical start: past ones first, newest first, then future ones, soonest first."""
-    e = table(spark, folder, "calendar_events", "event_uid", "start_time").distinct().where(F.col("start_time").rlike(r"^\d{4}-\d\d-\d\dT\d\d:\d\d:\d\dZ$"))
-    s = F.unix_seconds(F.try_to_timestamp("start_time", F.lit("yyyy-MM-dd'T'HH:mm:ssX")))
-    keyed = e.withColumn("s", s).where("s is not null").withColumn("sort_key", F.when(F.col("s") < 1_717_200_000, -F.col("s")).otherwise(F.col("s")))
-    return keyed.select("event_uid", "sort_key")
+    """Rank of events with a start, in whatever form it is written: past ones first, newest first, then future ones, soonest first."""
+    e = table(spark, folder, "calendar_events", "event_uid", "start_time", "start_tz").distinct()
+    keyed = with_utc_ms(e, "start_time", "start_tz", "ms").withColumn("s", F.floor(F.col("ms") / 1000).cast("long")).where("s is not null").withColumn("sort_key", F.when(F.col("s") < 1_717_200_000, -F.col("s")).otherwise(F.col("s")))
+    return keyed.select("event_uid", "sort_key").distinct()
 
 
 def newest_matches(spark: SparkSession, folder: str) -> DataFrame:
@@ -221,6 +223,8 @@ QUERIES = {
 
 _QUALITY = "case when regexp_matches(name, '\\p{Lu}') and regexp_matches(name, '\\p{Ll}') then 2 when regexp_matches(name, '\\p{Ll}') then 1 else 0 end"
 
+_PARTS = """regexp_extract_all({0}, '(?:"[^"]*"|[^",])+')"""
+
 SQL = {
     "archive_counts": """
 select count(*) as rows_held, count(distinct message_rowid) as messages, count(distinct chat_rowid) as chats,
@@ -248,13 +252,11 @@ with t as (select id, arg_max({'h': author_handle, 'r': in_reply_to_id, 'l': lik
 select v.h as author_handle, count(*) as posts, count(v.r) as replies, count(*) - count(v.l) as unmeasured, cast(coalesce(sum(v.l), 0) as bigint) as likes,
        coalesce(max(v.l), 0) as most_likes, cast(min(floor(epoch(v.c))) as bigint) as first_s, cast(max(floor(epoch(v.c))) as bigint) as last_s from t group by 1""",
     "top_posts": "select distinct id, author_handle, like_count from tweets where like_count is not null order by like_count desc, id desc limit 20",
-    "activity_by_address": """
-with m as (select distinct id, from_address, to_address from messages),
-b as (select id, lower(trim(from_address)) as address, 'from' as role from m
-      union all
-      select id, case when regexp_extract(t, '<([^<>]+)>', 1) <> '' then lower(regexp_extract(t, '<([^<>]+)>', 1)) else lower(trim(t)) end, 'to'
-      from (select id, unnest(regexp_split_to_array(to_address, '\\s*,\\s*')) as t from m))
-select address, count(distinct id) as mails, count(distinct case when role = 'from' then id end) as sent from b where address <> '' group by 1""",
+    "activity_by_address": f"""
+with m as (select distinct id, from_address, to_address, cc_address from messages),
+b as (select id, unnest({_PARTS.format('from_address')}) as p, 'from' as role from m union all select id, unnest({_PARTS.format('to_address')}), 'to' from m union all select id, unnest({_PARTS.format('cc_address')}), 'cc' from m),
+a as (select id, role, lower(case when regexp_extract(p, '<\\s*([^<>]*?)\\s*>', 1) <> '' then regexp_extract(p, '<\\s*([^<>]*?)\\s*>', 1) else trim(p) end) as address from b)
+select address, count(distinct id) as mails, count(distinct case when role = 'from' then id end) as sent from a where address <> '' group by 1""",
     "guests_listed": """
 select event_uid, len(n) as guests, array_to_string(n[1:3], '; ') as shown
 from (select event_uid, list_sort(list(distinct display_name)) as n from participants where trim(display_name) <> '' group by 1)""",
@@ -279,10 +281,6 @@ with m as (select chat_rowid, message_rowid, min(coalesce(date, 0)) as date, boo
 p as (select *, row_number() over (partition by chat_rowid order by date, message_rowid) as place, count(*) over (partition by chat_rowid) as size from m)
 select p.chat_rowid, h.place as target_place, p.place - h.place as offset, p.message_rowid, h.place - 2 > 1 as more_before, h.place + 2 < h.size as more_after
 from p join p h on p.chat_rowid = h.chat_rowid and p.place between h.place - 2 and h.place + 2 where h.hit""",
-    "event_order": """
-select event_uid, case when s < 1717200000 then -s else s end as sort_key from (
-  select distinct event_uid, cast(epoch(cast(replace(replace(start_time, 'T', ' '), 'Z', '') as timestamp)) as bigint) as s from calendar_events
-  where regexp_full_match(start_time, '\\d{4}-\\d\\d-\\d\\dT\\d\\d:\\d\\d:\\d\\dZ') and substr(start_time, 1, 4) <> '0000')""",
     "newest_matches": """
 select * from (
   select distinct 'tweets' as source, id as key, cast(floor(epoch(created_at)) as bigint) as at_s from tweets

@@ -62,9 +62,11 @@ def observations_once(spark: SparkSession, folder: str) -> DataFrame:
 
 def pending_shards(spark: SparkSession, folder: str) -> DataFrame:
     """Shards of documents, by source and language, whose digest differs from the one ingested before the cut."""
-    d = table(spark, folder, "documents", "doc_id", "source", "lang", "n_chars", "ingested_at").withColumn("lang", F.coalesce("lang", F.lit("")))
-    shard = lambda df: df.groupBy("source", "lang").agg(F.count("*").alias("n"), F.sum("n_chars").alias("size"), F.max("doc_id").alias("last"))
-    return pending(shard(d), shard(d.where(f"ingested_at < {CUT}")), ["source", "lang", "n", "size", "last"])
+    d = table(spark, folder, "documents", "doc_id", "source", "lang", "text", "ingested_at").withColumn("lang", F.coalesce("lang", F.lit("")))
+    # contents in any order: the sum of the digests' heads
+    head = F.conv(F.substring(F.md5(F.concat_ws(":", F.col("doc_id").cast("string"), F.coalesce("text", F.lit("")))), 1, 12), 16, 10).cast("decimal(38,0)")
+    shard = lambda df: df.groupBy("source", "lang").agg(F.count("*").alias("n"), F.sum(head).cast("string").alias("digest"))
+    return pending(shard(d), shard(d.where(f"ingested_at < {CUT}")), ["source", "lang", "n", "digest"])
 
 
 def note_states(spark: SparkSession, folder: str) -> DataFrame:
@@ -122,9 +124,8 @@ select note_id, sha256(text) as digest, cast(min(floor(epoch(first_observed_at))
 from (select distinct note_id, observation_id, text, first_observed_at, latest_observed_at from note_versions) where text is not null group by 1, 2""",
     "observations_once": "select note_id, sha256(text) as digest, min(observation_id) as place, max(observation_id) as kept from note_versions where text is not null group by 1, 2",
     "pending_shards": f"""
-with a as (select source, coalesce(lang, '') as lang, count(*) as n, cast(sum(n_chars) as bigint) as size, max(doc_id) as last from documents group by 1, 2),
-b as (select source, coalesce(lang, '') as lang, count(*) as n, cast(sum(n_chars) as bigint) as size, max(doc_id) as last from documents where ingested_at < {_CUT} group by 1, 2)
-select * from a except select * from b""",
+select source, coalesce(lang, '') as lang, count(*) as n, cast(sum(cast(cast('0x' || substr(md5(cast(doc_id as varchar) || ':' || coalesce(text, '')), 1, 12) as bigint) as hugeint)) as varchar) as digest from documents group by 1, 2
+except select source, coalesce(lang, '') as lang, count(*) as n, cast(sum(cast(cast('0x' || substr(md5(cast(doc_id as varchar) || ':' || coalesce(text, '')), 1, 12) as bigint) as hugeint)) as varchar) as digest from documents where ingested_at < {_CUT} group by 1, 2""",
     "note_states": """
 with v as (select note_id, first_observed_at as t, text_status = 'missing' as gone from note_versions where text_status <> 'unsupported'),
 p as (select note_id, max(t) filter (not gone) as last from v group by 1),

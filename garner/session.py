@@ -50,6 +50,8 @@ def cut(df: DataFrame) -> DataFrame:
     context = df.sparkSession.sparkContext
     if not context.getCheckpointDir():
         folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if not folder and not context.master.startswith("local"):
+            raise ValueError("a cluster's session must name a shared folder in spark.checkpoint.dir")
         if not folder:
             folder = tempfile.mkdtemp(prefix="garner-checkpoint-")
             atexit.register(shutil.rmtree, folder, ignore_errors=True)

@@ -2,16 +2,25 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
 def scratch(spark: SparkSession, name: str) -> str:
-    """A new folder for a stream's state and output, below the shared checkpoint folder where the session names one."""
-    root = spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.gettempdir()}/garner-streams"
+    """A new folder for a stream that is run once, below the shared checkpoint folder; sessions on one machine may name none."""
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("a cluster's session must name a shared folder in spark.checkpoint.dir")
+        folder = tempfile.mkdtemp(prefix="garner-streams-")
+        atexit.register(shutil.rmtree, folder, ignore_errors=True)
+        root = f"file://{folder}"
     return f"{root}/{name}-{uuid.uuid4().hex}"
 
 
@@ -42,16 +51,21 @@ def drain(stream: DataFrame, spark: SparkSession, name: str, mode: str = "append
     return spark.read.schema(schema).parquet(f"{at}/out")
 
 
-def page_loop(stream: DataFrame, spark: SparkSession, key: str, order: str, name: str) -> tuple[DataFrame, DataFrame]:
+def page_loop(stream: DataFrame, spark: SparkSession, key: str, order: str, name: str, location: str | None = None, before: Callable[[int], None] | None = None) -> tuple[DataFrame, DataFrame]:
     """Every micro-batch is a page: its rows, once per key, and its cursor are committed under the page's number.
 
-    A page that runs again overwrites itself, so a restart repeats nothing. Returns the rows, the
-    newest per key over all pages, and the cursors (page, rows_read, cursor).
+    State, rows and cursors live in ``location``: a run that was stopped goes on behind the last
+    page committed there, a page that runs again overwrites itself, and files that came since are
+    read. Without a location the loop is run once, in a folder of its own. ``before`` is called with
+    each page's number. Returns the rows, the newest per key over all pages, and the cursors (page,
+    rows_read, cursor).
     """
-    at = scratch(spark, name)
+    at = location or scratch(spark, name)
     schema = stream.schema
 
     def commit(page: DataFrame, number: int) -> None:
+        if before:
+            before(number)
         once = page.dropDuplicates([key, order])
         once.write.mode("overwrite").parquet(f"{at}/rows/page={number}")
         page.agg(F.count("*").alias("rows_read"), F.max(order).alias("cursor")).write.mode("overwrite").parquet(f"{at}/cursors/page={number}")
