@@ -14,7 +14,9 @@ from garner.functions.matching import match_rank
 from garner.functions.text import first_shown, mail_key, phone_key
 from garner.operators.aliases import build, compose_link, lookup_table
 from garner.operators.fulltext import marked, matches, runs, terms, tokens
+from garner.operators.store import Store
 from garner.operators.windows import context, latest, top_per_source
+from garner.session import cut
 from garner.sources.tables import table
 
 APPLE_S = 978_307_200
@@ -56,10 +58,29 @@ def parse_date(value: str, end: bool = False, zone: dt.tzinfo = dt.UTC) -> dt.da
 
 
 class Archive:
-    """Read access to one folder of tables. Every method returns a DataFrame; limits below 1 are refused."""
+    """Access to one folder of tables. Methods return DataFrames; limits below 1 are refused.
 
-    def __init__(self, spark: SparkSession, folder: str) -> None:
-        self.spark, self.folder = spark, folder
+    With a ``store``, ``update`` keeps the records, their word index and their aliases there, and
+    links are opened through the aliases kept.
+    """
+
+    def __init__(self, spark: SparkSession, folder: str, store: Store | None = None) -> None:
+        self.spark, self.folder, self.store = spark, folder, store
+
+    def update(self, seen: str, sources: tuple[str, ...] = SOURCES) -> DataFrame:
+        """Merge each source's records into the store as a complete snapshot taken at ``seen``: (source, change, n).
+
+        Every source is published by itself: one that fails leaves its last version in force.
+        """
+        if self.store is None:
+            raise ValueError("an update needs a store")
+        changes = []
+        for s in sources:
+            rows = cut(self.records(s).where("key is not null"))
+            changes.append(self.store.apply_snapshot(s, rows, "key", seen).select(F.lit(s).alias("source"), "change", "n"))
+            self.store.index_texts(s, rows, "key", "text")
+            self.store.update_aliases(rows.select(F.concat(F.lit(f"{s}/"), "key").alias("r")), "r")
+        return reduce(DataFrame.unionByName, changes)
 
     def _t(self, name: str, *columns: str) -> DataFrame:
         return table(self.spark, self.folder, name, *columns)
@@ -195,17 +216,22 @@ class Archive:
 
     def links(self, source: str) -> DataFrame:
         """Short link of every record of a source: key, link."""
-        e = build(self.records(source).select(F.concat(F.lit(f"{source}/"), "key").alias("r")), "r")
-        return e.select(F.substring_index("full_ref", "/", -1).alias("key"), compose_link(F.lit(source), F.col("alias")).alias("link"))
+        held = self.store.read("aliases") if self.store is not None else None
+        e = build(self.records(source).select(F.concat(F.lit(f"{source}/"), "key").alias("r")), "r") if held is None else held.where(F.col("full_ref").startswith(f"{source}/"))
+        return e.select(F.expr("substring(full_ref, instr(full_ref, '/') + 1)").alias("key"), compose_link(F.lit(source), F.col("alias")).alias("link"))
 
     def open(self, link: str, around: int = 5) -> DataFrame:
         """The record of a link and its neighbours in its conversation: ``MATCH`` columns, offset, more_before, more_after."""
         source, _, alias = link.partition(":")
         rows = self.records(source)
-        e = lookup_table(build(rows.select(F.concat(F.lit(f"{source}/"), "key").alias("r")), "r")).where(F.col("alias") == alias).limit(2).collect()
+        if self.store is not None:
+            e = self.store.references(alias)
+        else:
+            built = build(rows.select(F.concat(F.lit(f"{source}/"), "key").alias("r")), "r")
+            e = [r["full_ref"] for r in lookup_table(built).where(F.col("alias") == alias).limit(2).collect()]
         if len(e) != 1:
             raise LookupError(f"{link} is {'ambiguous' if e else 'unknown'}")
-        key = e[0]["full_ref"].partition("/")[2]
+        key = e[0].partition("/")[2]
         one = rows.where(F.col("key") == key).select("conversation").first()["conversation"]
         if one is None:
             return rows.where(F.col("key") == key).select(*MATCH, F.lit(0).alias("offset"), F.lit(False).alias("more_before"), F.lit(False).alias("more_after"))
