@@ -68,6 +68,38 @@ def kahn_leftover(nodes: DataFrame) -> DataFrame:
     return link.select(*keys)
 
 
+def kahn_order(messages: DataFrame) -> DataFrame:
+    """``messages`` with ``order``, by which they sort as Kahn's algorithm puts them out, the earliest (at, message) that may come next first.
+
+    A message that waits for later ones comes right behind them, so its place follows from the
+    times on its chain of parents: ``order`` holds those (at, message) from the root down that no
+    nearer one on the chain exceeds, itself at the end, and compares place by place. Chains are put
+    together by doubling, only in conversations with a reply before its parent; elsewhere ``order``
+    is the message's own time. Messages on a cycle or behind one are left out. A parent outside the
+    conversation ends the chain; a null time sorts first.
+    """
+    keys = ["conversation", "message"]
+    own = F.struct("at", "message")
+    nodes = cut(messages.withColumn("order", F.array(own)))
+    parents = nodes.select("conversation", F.col("message").alias("parent"), F.col("at").alias("p_at"))
+    linked = nodes.where("parent is not null").select(*keys, "at", "parent").join(parents, ["conversation", "parent"])
+    backward = cut(linked.where("struct(at, message) <= struct(p_at, parent)").select("conversation").distinct())
+    if backward.isEmpty():
+        return nodes
+    held = nodes.join(backward, "conversation", "left_semi")
+    inside = linked.join(backward, "conversation", "left_semi").select(*keys, F.col("parent").alias("to"))
+    chains = cut(held.select(*keys, "order").join(inside, keys, "left"))
+    left, before = chains.where("to is not null").count(), None
+    while left and left != before:
+        upper = chains.select("conversation", F.col("message").alias("to"), F.col("order").alias("above"), F.col("to").alias("further"))
+        joined = chains.join(upper, ["conversation", "to"], "left")
+        order = F.when(F.col("above").isNull(), F.col("order")).otherwise(F.concat(F.filter("above", lambda x: x > F.col("order")[0]), "order"))
+        chains = cut(joined.select(*keys, order.alias("order"), F.col("further").alias("to")))
+        left, before = chains.where("to is not null").count(), left
+    done = held.drop("order").join(chains.where("to is null").select(*keys, "order"), keys)
+    return nodes.join(backward, "conversation", "left_anti").unionByName(done.select(nodes.columns))
+
+
 def keep_whole(messages: DataFrame, faults: DataFrame | None = None) -> DataFrame:
     """Messages of conversations with at least two speakers and no fault.
 

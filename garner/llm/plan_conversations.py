@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from garner.functions.instants import with_utc_ms
-from garner.llm.conversations import REPLY_MARK, has_text, keep_whole, number_turns, reply_faults
+from garner.llm.conversations import REPLY_MARK, has_text, kahn_order, keep_whole, number_turns, reply_faults
 from garner.sources.tables import table
 
 
@@ -66,20 +66,28 @@ def _posts(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
     )
     rooted = one.groupBy("conversation").agg(F.max(F.col("id") == F.col("conversation")).alias("rooted"))
     faults = reply_faults(made).unionByName(rooted.where("not rooted").select("conversation"))
-    return made.drop("parent"), faults.select(F.lit("tweets").alias("source"), "conversation")
+    return made, faults.select(F.lit("tweets").alias("source"), "conversation")
 
 
 def p3_found(spark: SparkSession, folder: str) -> DataFrame:
     """Turns of every whole conversation in chats, mails and posts."""
     mails, headless = _mails(spark, folder)
     posts, faults = _posts(spark, folder)
-    rows = _chats(spark, folder).unionByName(mails).unionByName(posts)
+    rows = _chats(spark, folder).unionByName(mails).unionByName(posts.drop("parent"))
     kept = keep_whole(rows, headless.unionByName(faults)).select("source", "conversation", "at", "place", "message")
     turns = number_turns(kept, ["at", "place", "message"])
     return turns.select("source", F.col("conversation").alias("conversation_key"), F.col("turn_no").cast("int").alias("turn_no"), F.col("message").alias("message_key"))
 
 
-QUERIES = {"p3_found": p3_found}
+def p3_reply_order(spark: SparkSession, folder: str) -> DataFrame:
+    """Posts of every whole conversation in the order of Kahn's algorithm: no reply comes before what it answers, whatever its time."""
+    posts, faults = _posts(spark, folder)
+    kept = keep_whole(posts, faults)
+    turns = number_turns(kahn_order(kept), ["order"])
+    return turns.select(F.col("conversation").alias("conversation_key"), F.col("turn_no").cast("int").alias("turn_no"), F.col("message").alias("message_key"))
+
+
+QUERIES = {"p3_found": p3_found, "p3_reply_order": p3_reply_order}
 
 SQL = {
     "p3_found": r"""

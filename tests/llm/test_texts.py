@@ -7,7 +7,7 @@ from compare import rows_of, rows_of_sql, views
 from pyspark.sql import functions as F
 
 from garner.llm import mail_text, pii, plan_conversations, residue
-from garner.llm.conversations import kahn_leftover, keep_whole, number_turns, reply_faults
+from garner.llm.conversations import kahn_leftover, kahn_order, keep_whole, number_turns, reply_faults
 
 
 def test_conversations_agree_with_sql(spark, data):
@@ -24,6 +24,37 @@ def test_reply_graph(spark):
     assert reply_faults(df.where("false")).count() == 0
 
 
+def test_kahn_order(spark):
+    import heapq
+    import random
+
+    rng, rows = random.Random(11), []
+    for c in range(30):
+        for m in range(rng.randint(1, 25)):
+            parent = None if m == 0 or rng.random() < 0.1 else f"{rng.randrange(m):02}"
+            rows.append((f"c{c}", f"{m:02}", parent, None if rng.random() < 0.05 else rng.randrange(12)))
+    rows += [("deep", f"{i:03}", f"{i + 1:03}" if i < 70 else None, i) for i in range(71)] + [("loop", "1", "2", 1), ("loop", "2", "1", 2), ("loop", "3", None, 0), ("loop", "4", "1", 9)]
+    want = {}
+    for c in {r[0] for r in rows}:
+        mine = {r[1]: r for r in rows if r[0] == c}
+        place = lambda m, mine=mine: (mine[m][3] is not None, mine[m][3] or 0, m)
+        ready, out = [place(m) for m, r in mine.items() if r[2] is None], []
+        heapq.heapify(ready)
+        while ready:
+            m = heapq.heappop(ready)[2]
+            out.append(m)
+            for k, r in mine.items():
+                if r[2] == m:
+                    heapq.heappush(ready, place(k))
+        want[c] = out
+    df = spark.createDataFrame(rows, "conversation string, message string, parent string, at long").withColumn("source", F.lit("s"))
+    got = {}
+    for r in number_turns(kahn_order(df), ["order"]).orderBy("conversation", "turn_no").collect():
+        got.setdefault(r["conversation"], []).append(r["message"])
+    assert got == want
+    assert kahn_order(df.where("false")).count() == 0
+
+
 def test_whole_conversations(spark):
     rows = [("s", "a", "1", "x", 1, False), ("s", "a", "2", "y", 2, False), ("s", "b", "1", "x", 1, False), ("s", "c", "1", "x", 1, True), ("s", "c", "2", "y", 1, None), ("s", None, "1", "x", 1, False), ("s", "d", "1", None, 1, False), ("s", "d", "2", "y", None, False)]
     df = spark.createDataFrame(rows, "source string, conversation string, message string, speaker string, at long, broken boolean")
