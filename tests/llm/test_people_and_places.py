@@ -248,6 +248,44 @@ def test_one_person_each(spark):
     assert got == {("contacts:1", "people:1"), ("handles:1", "people:1"), ("handles:2", "people:2"), ("contacts:1", "handles:1"), ("contacts:2", "handles:3"), ("contacts:2", "people:2"), ("contacts:8", "handles:8")}
 
 
+@pytest.mark.parametrize("copies", [2, 7])
+def test_records_written_several_times(spark, copies):
+    """Repeats of a person's records under other keys keep all their pairs, whichever copy they are of."""
+    raw = []
+    for i, j in itertools.product(range(30), range(copies)):
+        name, phone = f"Anna{chr(97 + i % 26)} Last{chr(97 + i)}x", f"+1 202 555 {1000 + i}"
+        raw.append(entities.profile(f"people:{i}~{j}", "people", name, phones=[phone], mails=[f"anna{i}@m.test"]))
+        raw.append(entities.profile(f"contacts:{i}~{j}", "contacts", name, phones=[phone]))
+        raw.append(entities.profile(f"handles:{i}~{j}", "handles", None, mails=[f"anna{i}@m.test"]))
+    raw += [entities.profile(f"people:n{j}", "people", "Same Name", accounts=["samename"]) for j in range(2)]
+    records = entities.told_apart(entities.straighten(spark.createDataFrame(raw, entities.RAW)))
+    once, repeats = records.where("rec = same").drop("same"), records.select("rec", "same")
+    assert once.count() == 30 * 3 + 2 and once.where(f"times = {copies}").count() == 90
+    got = {tuple(r) for r in entities.same_person_pairs(entities.one_person_each(entities.matched_pairs(once)), repeats).collect()}
+    assert got == {(f"{a}:{i}~{j}", f"{b}:{i}~{k}") for i in range(30) for j in range(copies) for k in range(copies) for a, b in (("contacts", "handles"), ("contacts", "people"), ("handles", "people"))}
+
+
+def test_repeats_count_in_the_spread_of_a_number(spark):
+    raw = [entities.profile(f"contacts:{i}", "contacts", "Uma Ravhoff", phones=["+1 202 999 0000"]) for i in range(24)]
+    raw += [entities.profile(f"people:{i}", "people", f"Ida{chr(97 + i)} Birkova", phones=["+1 202 999 0000"]) for i in range(6)] + [entities.profile("people:u", "people", "Uma Ravhoff", phones=["+1 202 999 0000"])]
+    records = entities.told_apart(entities.straighten(spark.createDataFrame(raw, entities.RAW)))
+    pairs = {(r["a"], r["b"]): r["phone"] for r in entities.candidate_pairs(records.where("rec = same").drop("same")).collect()}
+    assert pairs["contacts:0", "people:u"] == 31 / 25
+
+
+def test_leads_that_are_as_likely(spark):
+    rows = [("contacts:1", "people:1", 0.9, 0), ("contacts:1", "people:2", 0.9, 0), ("contacts:2", "people:2", 0.8, 0), ("handles:1", "people:1", 0.9, 1), ("handles:1", "people:2", 0.9, 0), ("handles:2", "people:1", 0.9, 1), ("handles:2", "people:2", 0.95, 0)]
+    got = {(r["a"], r["b"]) for r in entities.one_person_each(spark.createDataFrame(rows, "a string, b string, confidence double, kept int")).collect()}
+    assert got == {("contacts:1", "people:1"), ("contacts:2", "people:2"), ("handles:1", "people:1"), ("handles:2", "people:2")}
+
+
+@pytest.mark.parametrize(("mail", "want"), [("uma.ravhoff@b.test", 1), ("uma.ravhoff70@b.test", 1), ("uma_ravhoff@b.test", 0), ("uma_ravhoff7@b.test", 0)])
+def test_account_names_written_alike(spark, mail, want):
+    raw = [entities.profile("handles:a", "handles", "Uma Ravhoff", mails=[mail]), entities.profile("people:a", "people", "Uma Ravhoff", mails=["uma.ravhoff@a.test"])]
+    records = entities.straighten(spark.createDataFrame(raw, entities.RAW))
+    assert entities.pair_features(entities.candidate_pairs(records), records).first()["kept"] == want
+
+
 def test_queries_give_ordered_pairs(spark, data):
     for rows in (plan_addresses.p4_found(spark, data), plan_entities.p2_found(spark, data)):
         assert rows.columns == ["left_key", "right_key"]
